@@ -24,32 +24,33 @@ def clean_numeric(c: Column) -> Column:
     return to_number(F.regexp_replace(c.cast("string"), r"[,$ ]", ""))
 
 
-def _count(c: Column, ch: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
-def normalize_numeric(c: Column) -> Column:
-    """Currency, percent, accounting negatives, and US or European separators."""
-    s = F.trim(c.cast("string"))
-    for sym in CURRENCY:
-        s = F.replace(s, F.lit(sym), F.lit(""))
-    s = F.trim(s)
-    percent = s.endswith("%")
-    s = F.when(percent, F.trim(F.regexp_replace(s, "%$", ""))).otherwise(s)
-    s = F.regexp_replace(s, r"^[(](.*)[)]$", "-$1")
-    commas, dots = _count(s, ","), _count(s, ".")
+CURRENCY_PATTERN = "|".join(("[" + "".join(c for c in CURRENCY if len(c) == 1) + "]", *(c for c in CURRENCY if len(c) > 1)))
+
+
+def _plain(s: Column) -> Column:
+    """Text with its separators turned into at most one decimal point."""
     no_comma = F.replace(s, F.lit(","), F.lit(""))
     no_dot = F.replace(s, F.lit("."), F.lit(""))
-    to_dot = F.replace(s, F.lit(","), F.lit("."))
-    plain = (
-        F.when((commas > 0) & (dots > 0),
+    return (
+        F.when(s.contains(",") & s.contains("."),
                F.when(s.rlike("[.][^,]*$"), no_comma).otherwise(F.replace(no_dot, F.lit(","), F.lit("."))))
-        .when((commas == 1) & (dots == 0), F.when(s.rlike(",...$"), no_comma).otherwise(to_dot))
-        .when(commas > 1, no_comma)
-        .when(dots > 1, no_dot)
+        .when(s.rlike(",.*,") | s.rlike(",...$"), no_comma)
+        .when(s.contains(","), F.replace(s, F.lit(","), F.lit(".")))
+        .when(s.rlike("[.].*[.]"), no_dot)
         .otherwise(s))
-    value = to_number(F.trim(plain))
-    return F.when(percent, value / 100.0).otherwise(value)
+
+
+def normalize_numeric(c: Column) -> Column:
+    """Currency, percent, accounting negatives, and US or European separators."""
+    bare = F.trim(F.regexp_replace(F.trim(c.cast("string")), CURRENCY_PATTERN, ""))
+    share = F.when(bare.endswith("%"), 100.0).otherwise(1.0)
+    body = F.regexp_replace(F.trim(F.regexp_replace(bare, "%$", "")), r"^[(](.*)[)]$", "-$1")
+    return let(body, lambda s: to_number(F.trim(_plain(s)))) / share
 
 
 def normalize_boolean(c: Column) -> Column:
@@ -65,9 +66,9 @@ def normalize_string(c: Column) -> Column:
 
 
 def typed_value(c: Column) -> Column:
-    """Number of a text field, NULL where a leading zero marks it as a code (0, 0.5 are numbers)."""
+    """Number of a text field (thousands commas allowed); NULL for text and for codes such as 0123."""
     s = F.trim(c)
-    return F.when(~s.rlike("^0[0-9]"), to_number(s))
+    return F.when(~s.rlike("^0[^.]"), to_number(F.replace(s, F.lit(","), F.lit(""))))
 
 
 def finite(c: Column, default: float | None = 0.0) -> Column:

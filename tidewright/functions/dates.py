@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .clean import let
+
 # fixed values -----------------------------------------------------------------------------
 # accepted text forms, in the order they are tried
 FORMATS: dict[str, str] = {
@@ -26,20 +28,6 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 # ------------------------------------------------------------------------------------------
 
 
-def _iso(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat(y.cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
-    return text.try_cast("date")
-
-
-def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    out = None
-    for i, m in enumerate(MONTHS, 1):
-        hit = low.isin(m, m[:3])
-        out = F.when(hit, i) if out is None else out.when(hit, i)
-    return out
-
-
 def first_weekday(year: Column, month: int, weekday: str) -> Column:
     """First given weekday of a month."""
     return F.next_day(F.date_sub(F.make_date(year, F.lit(month), F.lit(1)), 1), weekday)
@@ -59,40 +47,42 @@ def date_format(c: Column) -> Column:
     return out
 
 
+# rewrites that bring every form to year-month-day, year-W-week or year-Q-quarter
+_REWRITES = (
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{2})$", "$1-$3-20$4"),
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$", "$4-$1-$3"),
+    (FORMATS["ymd_slash"], "$1-$2-$3"),
+    (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T.*$", "$1"),
+    (FORMATS["month_name"], "$3-$1-$2"),
+    (FORMATS["day_month_name"], "$3-$2-$1"),
+    (FORMATS["week"], "$2-W-$1"),
+    (FORMATS["year_week"], "$1-W-$2"),
+    (FORMATS["quarter"], "$2-Q-$1"),
+)
+
+
+def _ymd(y: Column, m: Column, d: Column) -> Column:
+    return F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
+
+
 def parse_date(c: Column) -> Column:
     """Date of any accepted form; month and day change places when the month is impossible."""
     s = F.trim(c.cast("string"))
-
-    def part(name: str, i: int) -> Column:
-        return F.regexp_extract(s, FORMATS[name], i)
-
-    def mdy(name: str, century: str = "") -> Column:
-        y = F.concat(F.lit(century), part(name, 3))
-        a, b = part(name, 1), part(name, 2)
-        return F.coalesce(_iso(y, a, b), _iso(y, b, a))
-
-    def num(name: str, i: int) -> Column:
-        return part(name, i).try_cast("int")
-
-    forms = {
-        "iso_time": _iso(part("iso_time", 1), part("iso_time", 2), part("iso_time", 3)),
-        "iso": _iso(part("iso", 1), part("iso", 2), part("iso", 3)),
-        "ymd_slash": _iso(part("ymd_slash", 1), part("ymd_slash", 2), part("ymd_slash", 3)),
-        "mdy_slash": mdy("mdy_slash"),
-        "mdy_dash": mdy("mdy_dash"),
-        "mdy2_slash": mdy("mdy2_slash", "20"),
-        "mdy2_dash": mdy("mdy2_dash", "20"),
-        "month_name": _iso(part("month_name", 3), _month_number(part("month_name", 1)), part("month_name", 2)),
-        "day_month_name": _iso(part("day_month_name", 3), _month_number(part("day_month_name", 2)), part("day_month_name", 1)),
-        "week": monday_week(num("week", 2), num("week", 1)),
-        "quarter": F.make_date(num("quarter", 2), num("quarter", 1) * 3 - 2, F.lit(1)),
-        "year_week": monday_week(num("year_week", 1), num("year_week", 2)),
-    }
-    out = None
-    for name, value in forms.items():
-        cond = s.rlike(FORMATS[name])
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
+    for pattern, form in _REWRITES:
+        s = F.regexp_replace(s, pattern, form)
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], str(i), *((m, str(i)) if len(m) > 3 else ()))])
+
+    def read(p: Column) -> Column:
+        y, m, d = p[0], p[1], p[2]
+        number = d.try_cast("int")
+        return (F.when(m == "W", monday_week(y.try_cast("int"), number))
+                .when(m == "Q", F.make_date(y.try_cast("int"), number * 3 - 2, F.lit(1)))
+                .when(m.rlike("^[0-9]+$"), F.coalesce(_ymd(y, m, d), _ymd(y, d, m)))
+                .otherwise(_ymd(y, F.try_element_at(months, F.lower(m)), d)))
+
+    # other text has no date
+    known = s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{4}-([0-9]{1,2}|[A-Za-z]{3,9}|W|Q)-[0-9]{1,2}$")
+    return let(F.when(known, F.split(s, "-")), read)
 
 
 def easter(year: Column) -> Column:

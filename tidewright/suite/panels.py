@@ -83,7 +83,7 @@ PANELS: dict[str, str] = {
             ELSE 'someday' END AS date_text,
           CASE o_orderkey % 7 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no' WHEN 2 THEN 'TRUE' WHEN 3 THEN '0'
             WHEN 4 THEN 'maybe' WHEN 5 THEN 'Active' ELSE 'off' END AS flag_text,
-          CASE o_orderkey % 5 WHEN 0 THEN '  a   b ' WHEN 1 THEN 'x' || chr(160) || 'y' WHEN 2 THEN chr(65279) || 'bom'
+          CASE o_orderkey % 5 WHEN 0 THEN '  a   b ' WHEN 1 THEN 'x' || chr(160) || 'y' WHEN 2 THEN '﻿bom'
             WHEN 3 THEN 'l1' || chr(13) || chr(10) || 'l2' ELSE '   ' END AS str_text,
           CASE o_orderkey % 4 WHEN 0 THEN '0' || small WHEN 1 THEN '0.' || cents WHEN 2 THEN big || '' ELSE 'x' || small END AS code_text,
           mm || '/' || dd || '/' || yyyy AS us_date,
