@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import Keys, YOY_LAG, by, median, ordered, position, running, series_len
+from .base import Keys, YOY_LAG, by, median, ordered, position, running, series_len  # noqa: F401
 
 # fixed values -----------------------------------------------------------------------------
 LAGS = {"daily": (1, 7, 14, 28, 364), "weekly": (1, 4, 13, 26, 52), "monthly": (1, 3, 6, 12)}

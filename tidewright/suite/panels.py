@@ -55,6 +55,26 @@ PANELS: dict[str, str] = {
                     WHEN extract(month FROM w.ds) = 3 AND extract(day FROM w.ds) <= 7 THEN w.y * 0.1
                     WHEN w.ds > CAST(m.last_ds - INTERVAL 14 DAY AS DATE) THEN w.y * 0.05 ELSE w.y END AS y
         FROM {weekly} w JOIN (SELECT series, max(ds) AS last_ds FROM {weekly} GROUP BY series) m ON w.series = m.series""",
+    # weekly values with simple predictions and the position from the end
+    "lagged": """
+        SELECT series, ds, y, lag(y, 1) OVER (PARTITION BY series ORDER BY ds) AS l1, lag(y, 4) OVER (PARTITION BY series ORDER BY ds) AS l4,
+               avg(y) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m7,
+               lag(y, 7) OVER (PARTITION BY series ORDER BY ds) AS l7,
+               lag(y, 52) OVER (PARTITION BY series ORDER BY ds) AS l52,
+               row_number() OVER (PARTITION BY series ORDER BY ds DESC) AS back
+        FROM {weekly}""",
+    # four simple models over the last 24 weeks of each series
+    "models": """
+        SELECT series, 'last' AS model, ds, 25 - back AS h, y, l1 AS yhat FROM {lagged} WHERE back <= 24
+        UNION ALL SELECT series, 'month', ds, 25 - back, y, l4 FROM {lagged} WHERE back <= 24
+        UNION ALL SELECT series, 'mean7', ds, 25 - back, y, m7 FROM {lagged} WHERE back <= 24
+        UNION ALL SELECT series, 'year', ds, 25 - back, y, l52 FROM {lagged} WHERE back <= 24""",
+    "hist": "SELECT series, ds, y FROM {lagged} WHERE back > 12",
+    "act": "SELECT series, ds, y FROM {lagged} WHERE back <= 12",
+    "fc": """
+        SELECT series, h - 12 AS h, ds, yhat, yhat * 0.75 AS yhat_lower, yhat * 1.25 AS yhat_upper FROM {models} WHERE model = 'mean7' AND h > 12""",
+    # the reference year of one model, with residuals
+    "resid": "SELECT series, ds, y, m7 AS yhat, y - m7 AS res FROM {lagged} WHERE back > 12 AND l7 IS NOT NULL",
     # text forms of numbers, dates, flags
     "messy": """
         SELECT o_orderkey AS id,
