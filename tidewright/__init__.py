@@ -7,3 +7,10 @@ raw rows aggregate them (with map-side combine) before anything is partitioned b
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to Python workers travel with their code, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
