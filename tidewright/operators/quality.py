@@ -174,12 +174,13 @@ def slice_quality(df: DataFrame, keys: Keys, freq: str, y: str = "y") -> DataFra
 
 def volume_class(means: DataFrame, keys: Keys, col: str = "period_mean") -> DataFrame:
     """Volume of each series among its peers by order statistics at the quintiles (element int(n·q), not interpolated)."""
-    peers = means.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("m"))
+    # a mean may differ in its last bits between two evaluations; rounding keeps "equal to the cut" stable
+    v = F.round(col, 6)
+    peers = means.where(F.col(col).isNotNull()).select(*keys, v.alias("m"))
     ranked = global_rank(peers, F.col("m"), ties=list(keys))
     n = peers.agg(F.count(F.lit(1)).alias("n"))
     at = {f"p{int(q * 100)}": F.max(F.when(F.col("rank") == F.floor(F.col("n") * F.lit(q)) + 1, F.col("m"))).alias(f"p{int(q * 100)}") for q in (0.2, 0.4, 0.6, 0.8)}
     cuts = ranked.crossJoin(F.broadcast(n)).agg(F.max("n").alias("_n"), *at.values())
-    v = F.col(col)
     label = (F.when(F.col("_n") < 2, "medium").when(v <= F.col("p20"), "very_low").when(v <= F.col("p40"), "low").when(v <= F.col("p60"), "medium")
              .when(v <= F.col("p80"), "high").otherwise("very_high"))
     return means.crossJoin(F.broadcast(cuts)).withColumn("volume_level", label).drop("_n", *at)

@@ -62,7 +62,7 @@ d2 AS (SELECT *, avg(y - trend) OVER (PARTITION BY series, t % {period}) - avg(y
 dc AS (SELECT *, y - trend - seasonal AS remainder FROM d2)"""
 
 
-@query("sig6_decompose", "series:s ds:d trend:f7 seasonal:f7 remainder:f7", f"""
+@query("sig6_decompose", "series:s ds:d trend:f4 seasonal:f6 remainder:f6", f"""
 {ctes('weekly')}, {num()}, {decomp_sql(52)} SELECT series, ds, trend, seasonal, remainder FROM dc""")
 def _(spark, d):
     return S.decompose(panel(spark, d, "weekly"), K, 52)
