@@ -312,11 +312,12 @@ def _(spark, d):
 
 
 def split_sql(src, keys, h):
-    return f"""t AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ds DESC) AS back, count(*) OVER (PARTITION BY {keys}) AS n_all FROM {src}),
-s AS (SELECT *, least({h}, greatest(1, n_all // 7)) AS hs FROM t),
-u AS (SELECT *, n_all - 2 * hs < greatest({2 * h}, 30) AS short FROM s),
+    """CTE ``split`` with the labels."""
+    return f"""sp1 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ds DESC) AS back, count(*) OVER (PARTITION BY {keys}) AS n_all FROM {src}),
+sp2 AS (SELECT *, least({h}, greatest(1, n_all // 7)) AS hs FROM sp1),
+sp3 AS (SELECT *, n_all - 2 * hs < greatest({2 * h}, 30) AS short FROM sp2),
 split AS (SELECT *, CASE WHEN back <= CASE WHEN short THEN 0 ELSE hs END THEN 'holdout'
- WHEN back <= CASE WHEN short THEN least({h}, n_all // 5) ELSE 2 * hs END THEN 'eval' ELSE 'train' END AS split FROM u)"""
+ WHEN back <= CASE WHEN short THEN least({h}, n_all // 5) ELSE 2 * hs END THEN 'eval' ELSE 'train' END AS split FROM sp3)"""
 
 
 @query("win14_split_series", "series:s ds:d y:f5 split:s", f"""
