@@ -75,6 +75,30 @@ PANELS: dict[str, str] = {
         SELECT series, h - 12 AS h, ds, yhat, yhat * 0.75 AS yhat_lower, yhat * 1.25 AS yhat_upper FROM {models} WHERE model = 'mean7' AND h > 12""",
     # the reference year of one model, with residuals
     "resid": "SELECT series, ds, y, m7 AS yhat, y - m7 AS res FROM {lagged} WHERE back > 12 AND l7 IS NOT NULL",
+    # a run log: jobs, results of models, queue, sessions, uploads
+    "jobs": """
+        SELECT o_orderkey AS job_id, o_custkey AS user_id,
+          CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'QUEUED' ELSE 'PENDING' END END AS status,
+          o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 AS INT) AS submitted_at,
+          CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 + 60 AS INT) END AS started_at,
+          CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 + 60 + o_custkey % 5000 AS INT) END AS completed_at,
+          CASE WHEN o_orderstatus <> 'O' THEN CAST(o_custkey % 5000 AS BIGINT) END AS duration_seconds,
+          CAST(4 + o_orderkey % 9 AS INT) AS horizon, CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'monthly' END AS frequency,
+          CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey % 400 AS DOUBLE) / 8 END AS best_mape, CASE WHEN o_orderstatus = 'F' THEN 'ets' END AS best_model,
+          'seed=' || CAST(o_orderkey % 100 AS VARCHAR(10)) AS request_params, CAST(o_orderkey % 100 AS INT) AS random_seed
+        FROM {orders}""",
+    "results": """
+        SELECT l_orderkey AS job_id, CASE l_linenumber WHEN 1 THEN 'structural' WHEN 2 THEN 'ets' WHEN 3 THEN 'arima' WHEN 4 THEN 'theta' WHEN 5 THEN 'naive' WHEN 6 THEN 'boosted' ELSE 'sarimax' END AS model_name,
+          CASE WHEN l_linenumber = 4 AND l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 640 AS DOUBLE) / 16 END AS mape, l_extendedprice AS rmse
+        FROM {lineitem}""",
+    "queue": """
+        SELECT o_orderkey AS job_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'URGENT' WHEN '2-HIGH' THEN 'HIGH' WHEN '5-LOW' THEN 'LOW' ELSE 'NORMAL' END AS priority,
+          o_orderdate + INTERVAL 1 SECOND * CAST(o_custkey % 3600 AS INT) AS enqueued_at, o_orderstatus <> 'F' AS is_active
+        FROM {orders} WHERE o_orderkey % 13 <> 5""",
+    "uploads": """
+        SELECT o_orderkey AS upload_id, o_custkey AS user_id, substr(o_orderpriority, 1, 1) || '-' || o_orderstatus AS data_hash,
+          o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 AS INT) AS uploaded_at, o_orderkey % 10 = 3 AS is_deleted
+        FROM {orders}""",
     # text forms of numbers, dates, flags
     "messy": """
         SELECT o_orderkey AS id,
