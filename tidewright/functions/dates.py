@@ -86,18 +86,18 @@ def parse_date(c: Column) -> Column:
 
 
 def easter(year: Column) -> Column:
-    """Western Easter by the Gregorian computus."""
+    """Western Easter by the Gregorian computus; each step is evaluated once."""
     def div(x: Column, n: int) -> Column:
         return F.floor(x / n).cast("int")
 
-    golden = year % 19
-    century, yy = div(year, 100), year % 100
-    corr = div(century - div(century + 8, 25) + 1, 3)
-    epact = (golden * 19 + century - div(century, 4) - corr + 15) % 30
-    shift = (F.lit(32) + (century % 4) * 2 + div(yy, 4) * 2 - epact - yy % 4) % 7
-    late = div(golden + epact * 11 + shift * 22, 451)
-    serial = epact + shift - late * 7 + 114
-    return F.make_date(year, div(serial, 31), serial % 31 + 1)
+    golden, century, yy = year % 19, div(year, 100), year % 100
+    moon = (golden * 19 + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
+
+    def serial(epact: Column) -> Column:
+        shift = (F.lit(32) + (century % 4) * 2 + div(yy, 4) * 2 - epact - yy % 4) % 7
+        return let(shift, lambda s: epact + s - div(golden + epact * 11 + s * 22, 451) * 7 + 114)
+
+    return let(let(moon, serial), lambda k: F.make_date(year, div(k, 31), k % 31 + 1))
 
 
 def thanksgiving(year: Column) -> Column:

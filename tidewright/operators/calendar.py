@@ -38,26 +38,29 @@ def _fixed(year: Column, month: int, day: int) -> Column:
     return F.make_date(year, F.lit(month), F.lit(day))
 
 
-def key_holidays(year: Column) -> dict[str, Column]:
-    """Date of every key holiday in a year."""
-    turkey = D.thanksgiving(year)
-    return {
-        **{name: _fixed(year, m, d) for name, (m, d) in FIXED.items()},
-        "thanksgiving": turkey, "black_friday": F.date_add(turkey, 1), "easter": D.easter(year), "super_bowl": D.super_bowl(year),
-        "mothers_day": F.date_add(D.first_weekday(year, 5, "SUN"), 7), "fathers_day": F.date_add(D.first_weekday(year, 6, "SUN"), 14),
-        "memorial_day": D.last_monday(year, 5), "labor_day": D.first_weekday(year, 9, "MON"),
-    }
-
-
-def public_holidays(year: Column) -> dict[str, Column]:
-    """Federal holidays of a year on their own dates."""
-    return {
-        "new_years": _fixed(year, 1, 1), "mlk": F.date_add(D.first_weekday(year, 1, "MON"), 14),
-        "presidents": F.date_add(D.first_weekday(year, 2, "MON"), 14), "memorial": D.last_monday(year, 5),
-        "juneteenth": F.when(year >= 2021, _fixed(year, 6, 19)), "july4": _fixed(year, 7, 4),
-        "labor": D.first_weekday(year, 9, "MON"), "columbus": F.date_add(D.first_weekday(year, 10, "MON"), 7),
-        "veterans": _fixed(year, 11, 11), "thanksgiving": D.thanksgiving(year), "christmas": _fixed(year, 12, 25),
-    }
+# rules of the moving holidays, and of all public ones on their own dates
+_MOVING = {
+    "thanksgiving": D.thanksgiving, "black_friday": lambda y: F.date_add(D.thanksgiving(y), 1), "easter": D.easter, "super_bowl": D.super_bowl,
+    "mothers_day": lambda y: F.date_add(D.first_weekday(y, 5, "SUN"), 7), "fathers_day": lambda y: F.date_add(D.first_weekday(y, 6, "SUN"), 14),
+    "memorial_day": lambda y: D.last_monday(y, 5), "labor_day": lambda y: D.first_weekday(y, 9, "MON"),
+}
+_PUBLIC = {
+    "new_years": lambda y: _fixed(y, 1, 1), "mlk": lambda y: F.date_add(D.first_weekday(y, 1, "MON"), 14),
+    "presidents": lambda y: F.date_add(D.first_weekday(y, 2, "MON"), 14), "memorial": lambda y: D.last_monday(y, 5),
+    "juneteenth": lambda y: F.when(y >= 2021, _fixed(y, 6, 19)), "july4": lambda y: _fixed(y, 7, 4),
+    "labor": lambda y: D.first_weekday(y, 9, "MON"), "columbus": lambda y: F.date_add(D.first_weekday(y, 10, "MON"), 7),
+    "veterans": lambda y: _fixed(y, 11, 11), "thanksgiving": D.thanksgiving, "christmas": lambda y: _fixed(y, 12, 25),
+}
+KEY_HOLIDAYS = (*FIXED, *_MOVING)
+
+
+def key_holiday(name: str, year: Column) -> Column:
+    """Date of a key holiday in a year."""
+    return _fixed(year, *FIXED[name]) if name in FIXED else _MOVING[name](year)
+
+
+def public_holiday(name: str, year: Column) -> Column:
+    return _PUBLIC[name](year)
 
 
 def observed(date: Column) -> Column:
@@ -81,7 +84,7 @@ def years_of(df: DataFrame, ds: str = "ds", pad: int = 0) -> DataFrame:
 
 def holiday_dim(years: DataFrame) -> DataFrame:
     """``(year, holiday, ds)`` for each year: at most eighteen rows a year."""
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("holiday"), c.alias("ds")) for i, (n, c) in enumerate(key_holidays(F.col("year")).items())])
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("holiday"), key_holiday(n, F.col("year")).alias("ds")) for i, n in enumerate(KEY_HOLIDAYS)])
     return years.select("year", F.inline(rows))
 
 
@@ -98,13 +101,11 @@ def holiday_windows(years: DataFrame, days: bool = True) -> DataFrame:
 
 def holiday_weeks(years: DataFrame) -> DataFrame:
     """Mondays of the weeks holding one of ten public holidays, on the day itself or where observed."""
-    y = F.col("year")
-    named = public_holidays(y)
     parts = []
     for n in PUBLIC_WEEKS:
-        parts.append(F.struct(F.lit(n).alias("holiday"), D.week_start(named[n]).alias("week_start")))
-        if n in _OBSERVED:
-            parts.append(F.struct(F.lit(n).alias("holiday"), D.week_start(observed(named[n])).alias("week_start")))
+        day = public_holiday(n, F.col("year"))
+        for d in (day, observed(day)) if n in _OBSERVED else (day,):
+            parts.append(F.struct(F.lit(n).alias("holiday"), D.week_start(d).alias("week_start")))
     return years.select(F.inline(F.array(*parts))).distinct()
 
 
@@ -150,15 +151,15 @@ def is_public_holiday(ds: Column) -> Column:
 def days_to(ds: Column, name: str) -> Column:
     """Days to the next occurrence, the day itself counting 0, at most 365."""
     y = F.year(ds)
-    here = key_holidays(y)[name]
-    nxt = F.when(here >= ds, here).otherwise(key_holidays(y + 1)[name])
+    here = key_holiday(name, y)
+    nxt = F.when(here >= ds, here).otherwise(key_holiday(name, y + 1))
     return F.least(F.datediff(nxt, ds), F.lit(FAR_DAYS))
 
 
 def days_since(ds: Column, name: str) -> Column:
     y = F.year(ds)
-    here = key_holidays(y)[name]
-    prev = F.when(here <= ds, here).otherwise(key_holidays(y - 1)[name])
+    here = key_holiday(name, y)
+    prev = F.when(here <= ds, here).otherwise(key_holiday(name, y - 1))
     return F.least(F.datediff(ds, prev), F.lit(FAR_DAYS))
 
 
@@ -200,7 +201,7 @@ def add_weekly_holidays(df: DataFrame, ds: str = "ds") -> DataFrame:
 
     def dates(name: str):
         def of(y: Column):
-            day = public_holidays(y)[name]
+            day = public_holiday(name, y)
             return [day, observed(day)] if name in _OBSERVED else [day]
         return of
 

@@ -24,8 +24,7 @@ def holiday_coverage(df: DataFrame, keys: Keys, freq: str) -> DataFrame:
         "*", F.min(F.year(ds)).over(w).alias("_y0"), F.max(F.year(ds)).over(w).alias("_y1"))
 
     def candidates(year):
-        dates = C.key_holidays(year)
-        return [F.struct(F.lit(n).alias("holiday"), year.alias("year"), dates[n].alias("date")) for n in MAJOR]
+        return [F.struct(F.lit(n).alias("holiday"), year.alias("year"), C.key_holiday(n, year).alias("date")) for n in MAJOR]
 
     years = [F.year(ds)] if freq != "weekly" else [F.year(F.date_sub(ds, 7)), F.year(F.date_add(ds, 13))]
     hits = F.filter(F.array(*[c for y in years for c in candidates(y)]), lambda h: h["year"].between(F.col("_y0"), F.col("_y1")) & (
