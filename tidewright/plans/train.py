@@ -31,7 +31,7 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
     """``models`` maps a name to a maker of forecasters: called with None it searches its own grid, called with
     winners it fits only those.
 
-    Scores and ranking are checkpointed (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error, and the
+    Scores and ranking are written to the shared folder (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error, and the
     ``forecast`` of each series by its best model fitted on all its rows.
     """
     keys = list(keys)

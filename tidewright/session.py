@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,23 @@ def build_session(app: str = "tidewright", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: the one ``spark.checkpoint.dir`` names, or the session's checkpoint folder.
 
-    Only where the session names none and runs in local mode (tests) a temporary folder is used.
+    Only where none is set and the session runs in local mode (tests) a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = os.path.join(tempfile.gettempdir(), f"tidewright-checkpoints-{os.getpid()}")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return os.path.join(tempfile.gettempdir(), f"tidewright-{os.getpid()}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back: what follows survives a lost executor without
+    running the plan behind them again."""
+    path = os.path.join(shared_folder(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

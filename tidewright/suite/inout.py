@@ -1,13 +1,13 @@
 """Sources and sinks: written to a scratch folder and read back."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
 from ..operators import windows as WN
+from ..session import shared_folder
 from ..sources import readers as R
 from ..sources import writers as WR
 from .auditing import SCORE, SEGS, segs
@@ -19,9 +19,8 @@ K = ["series"]
 
 
 def scratch(spark, name):
-    """A new folder below the shared folder the session names, else (tests) below the temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return os.path.join(base or tempfile.gettempdir(), f"tidewright-{name}-{uuid.uuid4().hex}")
+    """A new folder below the shared one."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 @query("src1_read_delimited", "p_partkey:i p_name:s p_brand:s p_retailprice:f2", "SELECT p_partkey, p_name || ';' || p_size AS p_name, p_brand, p_retailprice FROM part WHERE p_partkey % 10 <> 3")
