@@ -141,8 +141,17 @@ def drop_incomplete_tail(df: DataFrame, keys: Keys, y: str = "y", lookback: int
 
 def incomplete_final(df: DataFrame, keys: Keys, y: str = "y") -> DataFrame:
     """One row per series: does the last period look unfinished, and why.  Takes raw rows."""
-    days = df.groupBy(*keys, "ds").agg(
+    return incomplete_final_day(day_counts(df, keys, y), keys)
+
+
+def day_counts(df: DataFrame, keys: Keys, y: str = "y") -> DataFrame:
+    """Raw rows reduced to one per date: sum ``v``, filled rows ``c`` and all rows ``rows``."""
+    return df.groupBy(*keys, "ds").agg(
         F.coalesce(F.sum(y), F.lit(0.0)).alias("v"), F.count(y).alias("c"), F.count(F.lit(1)).alias("rows"))
+
+
+def incomplete_final_day(days: DataFrame, keys: Keys) -> DataFrame:
+    """The same from rows made by :func:`day_counts`."""
     late = F.row_number().over(ordered(keys, F.col("ds").desc()))
     hist = F.col("_rn") > 1
     out = days.withColumn("_rn", late).groupBy(*keys).agg(

@@ -18,16 +18,16 @@ from ..operators.joins import missing_periods
 def profile(rows: DataFrame, keys: Keys, freq: str, covs: Sequence[str] = ()) -> DataFrame:
     """``rows`` holds keys, ds, y and covariates, possibly several rows per date.
 
-    Counts that concern rows are taken from the rows; everything about the course of the series from
-    its one-row-per-date sum.
+    The rows are read once and reduced to one per date (map-side combined); everything else works on that.
     """
-    base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("ds").alias("start"), F.max("ds").alias("end"), F.count_distinct("ds").alias("unique_periods"),
-        F.count_if(F.col("y").isNull()).alias("missing_values"))
+    days = WN.day_counts(rows, keys)
+    base = days.groupBy(*keys).agg(
+        F.sum("rows").alias("row_count"), F.min("ds").alias("start"), F.max("ds").alias("end"), F.count(F.lit(1)).alias("unique_periods"),
+        (F.sum("rows") - F.sum("c")).alias("missing_values"))
     base = base.withColumns({
         "history_months": F.round(F.datediff("end", "start") / 30.44, 1), "has_multiple_slices": F.col("row_count") > F.col("unique_periods"),
         "slice_count": F.floor(F.col("row_count") / F.col("unique_periods"))})
-    panel = rows.groupBy(*keys, "ds").agg(F.sum("y").alias("y"))
+    panel = days.select(*keys, "ds", F.when(F.col("c") > 0, F.col("v")).alias("y"))
     w = by(keys)
     lines = S.numbered(panel, keys)
     lines = lines.withColumns({"_q1": F.percentile("y", F.lit(0.25)).over(w), "_q3": F.percentile("y", F.lit(0.75)).over(w)})
@@ -38,7 +38,7 @@ def profile(rows: DataFrame, keys: Keys, freq: str, covs: Sequence[str] = ()) ->
         F.coalesce((F.count(F.lit(1)) >= 10) & (F.abs(F.regr_slope("y", "t")) > F.stddev_pop("y") * 0.01), F.lit(False)).alias("has_trend"))
     season = S.circular_acf(panel, keys, PERIOD[freq]).select(*keys, "has_seasonality")
     gaps = missing_periods(panel, keys, freq).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing_periods"))
-    final = WN.incomplete_final(rows, keys).select(*keys, F.col("is_incomplete").alias("has_incomplete_final_period"))
+    final = WN.incomplete_final_day(days, keys).select(*keys, F.col("is_incomplete").alias("has_incomplete_final_period"))
     cover = holiday_coverage(panel, keys, freq).select(*keys, "holiday_coverage")
     prof = base
     for part in (shape, season, gaps, final, cover):
