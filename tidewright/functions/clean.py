@@ -47,10 +47,12 @@ def _plain(s: Column) -> Column:
 
 def normalize_numeric(c: Column) -> Column:
     """Currency, percent, accounting negatives, and US or European separators."""
-    bare = F.trim(F.regexp_replace(F.trim(c.cast("string")), CURRENCY_PATTERN, ""))
+    raw = F.trim(c.cast("string"))
+    bare = F.trim(F.regexp_replace(raw, CURRENCY_PATTERN, ""))
     share = F.when(bare.endswith("%"), 100.0).otherwise(1.0)
     body = F.regexp_replace(F.trim(F.regexp_replace(bare, "%$", "")), r"^[(](.*)[)]$", "-$1")
-    return let(body, lambda s: to_number(F.trim(_plain(s)))) / share
+    # most values are plain numbers already
+    return F.when(raw.rlike(NUMBER), raw.try_cast("double")).otherwise(let(body, lambda s: to_number(F.trim(_plain(s)))) / share)
 
 
 def normalize_boolean(c: Column) -> Column:

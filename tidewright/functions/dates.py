@@ -47,11 +47,13 @@ def date_format(c: Column) -> Column:
     return out
 
 
-# rewrites that bring every form to year-month-day, year-W-week or year-Q-quarter
-_REWRITES = (
+# rewrites that bring every form to year-month-day, year-W-week or year-Q-quarter: forms of digits, forms with letters
+_DIGITS = (
     (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{2})$", "$1-$3-20$4"),
     (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$", "$4-$1-$3"),
     (FORMATS["ymd_slash"], "$1-$2-$3"),
+)
+_LETTERS = (
     (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T.*$", "$1"),
     (FORMATS["month_name"], "$3-$1-$2"),
     (FORMATS["day_month_name"], "$3-$2-$1"),
@@ -61,15 +63,21 @@ _REWRITES = (
 )
 
 
+def _rewrite(s: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, form in rules:
+        s = F.regexp_replace(s, pattern, form)
+    return s
+
+
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 def parse_date(c: Column) -> Column:
     """Date of any accepted form; month and day change places when the month is impossible."""
-    s = F.trim(c.cast("string"))
-    for pattern, form in _REWRITES:
-        s = F.regexp_replace(s, pattern, form)
+    raw = F.trim(c.cast("string"))
+    # only the rules a text can need are tried
+    s = F.when(raw.rlike("[A-Za-z]"), _rewrite(raw, _LETTERS)).when(raw.rlike("/|^[0-9]{1,2}-"), _rewrite(raw, _DIGITS)).otherwise(raw)
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], str(i), *((m, str(i)) if len(m) > 3 else ()))])
 
     def read(p: Column) -> Column:
@@ -81,8 +89,8 @@ def parse_date(c: Column) -> Column:
                 .otherwise(_ymd(y, F.try_element_at(months, F.lower(m)), d)))
 
     # other text has no date
-    known = s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{4}-([0-9]{1,2}|[A-Za-z]{3,9}|W|Q)-[0-9]{1,2}$")
-    return let(F.when(known, F.split(s, "-")), read)
+    known = "^[0-9]{4}-([0-9]{1,2}|[A-Za-z]{3,9}|W|Q)-[0-9]{1,2}$"
+    return let(s, lambda t: let(F.when(t.rlike(known), F.split(t, "-")), read))
 
 
 def easter(year: Column) -> Column:

@@ -25,18 +25,13 @@ def scratch(spark, name):
 
 @query("src1_read_delimited", "p_partkey:i p_name:s p_brand:s p_retailprice:f2", "SELECT p_partkey, p_name || ';' || p_size AS p_name, p_brand, p_retailprice FROM part WHERE p_partkey % 10 <> 3")
 def _(spark, d):
-    """Semicolons, quoted fields with the delimiter inside, and rows that are short."""
+    """Semicolons, quoted fields with the delimiter inside, and a file of rows that are short."""
     path = scratch(spark, "src1")
     p = table(spark, d, "part")
-    full = F.concat(F.col("p_partkey").cast("string"), F.lit(';"'), "p_name", F.lit(";"), "p_size", F.lit('";'), "p_brand", F.lit(";"), F.col("p_retailprice").cast("string"))
-    line = F.when(F.col("p_partkey") % 10 == 3, F.concat(F.col("p_partkey").cast("string"), F.lit(";short"))).otherwise(full)
-    p.select(line.alias("value")).sortWithinPartitions("value").write.text(path)
-    # every part file carries the header, as files of one export do
-    body = spark.read.text(path)
-    whole = scratch(spark, "src1h")
-    body.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list("value").alias("v")).select(
-        F.explode(F.concat(F.array(F.lit("p_partkey;p_name;p_brand;p_retailprice")), "v")).alias("value")).write.text(whole)
-    return R.read_delimited(spark, whole)
+    short = F.col("p_partkey") % 10 == 3
+    p.where(~short).select("p_partkey", F.concat_ws(";", "p_name", "p_size").alias("p_name"), "p_brand", "p_retailprice").write.option("header", True).option("sep", ";").csv(path)
+    p.where(short).select(F.concat(F.col("p_partkey").cast("string"), F.lit(";short")).alias("value")).write.mode("append").text(path)
+    return R.read_delimited(spark, path)
 
 
 @query("src2_read_csv", "o_orderkey:i o_orderstatus:s o_totalprice:f2", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
