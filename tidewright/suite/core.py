@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("agg3_resample_monthly_last", "series:s ds:d y:f2 n:i", f"""
 {ctes('holey')}, o AS (SELECT * FROM holey WHERE load_no = 1)
-SELECT series, last_day(ds) AS ds, arg_max(y, ds) FILTER (y IS NOT NULL) AS y, count(*) AS n FROM o GROUP BY ALL""")
+SELECT series, last_day(ds) AS ds, arg_max(y, ds) FILTER (y IS NOT NULL) AS y, count(*) AS n FROM o GROUP BY series, last_day(ds) HAVING count(y) > 0""")
 def _(spark, d):
     df = panel(spark, d, "holey").where("load_no = 1").withColumn("n", F.lit(1))
     return A.resample(df, K, "monthly", {"y": "last", "n": "sum"})
