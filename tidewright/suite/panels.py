@@ -74,7 +74,7 @@ PANELS: dict[str, str] = {
     "act": "SELECT series, ds, y FROM {lagged} WHERE back <= 12",
     "fc": """
         SELECT series, h - 12 AS h, ds, yhat, yhat * 0.75 AS yhat_lower, yhat * 1.25 AS yhat_upper FROM {models} WHERE model = 'mean7' AND h > 12""",
-    # the reference year of one model, with residuals
+    # history with one model and its residuals
     "resid": "SELECT series, ds, y, m7 AS yhat, y - m7 AS res FROM {lagged} WHERE back > 12 AND l7 IS NOT NULL",
     # a run log: jobs, results of models, queue, sessions, uploads
     "jobs": """
