@@ -40,7 +40,8 @@ def measure(df: DataFrame, text: str) -> DataFrame:
     w, n = F.col("_words"), F.col("n_words")
     starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)).cast("int"))
     window = lambda i: F.slice(w, i, WINDOW)
-    hashes = F.when(n > WINDOW, F.transform(starts, lambda i: F.xxhash64(window(i))))
+    # hash of one word, then of 2, 4 and 8 from those of half the length; the last few of a text stand for less
+    doubled = lambda h, k: F.zip_with(h, F.slice(h, k + 1, F.greatest(F.size(h) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     repeated = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     placed = F.when(repeated, F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(window(i), " ").alias("w"), i.alias("i")))))
     p = F.col("_placed")
@@ -53,7 +54,10 @@ def measure(df: DataFrame, text: str) -> DataFrame:
     d = F.greatest(n, F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return (df.withColumn("_words", words(F.col(text))).withColumn("_lines", filled)
-            .withColumn("n_words", F.size(w).cast("long")).withColumn("_hashes", hashes).withColumn("_placed", placed)
+            .withColumn("n_words", F.size(w).cast("long"))
+            .withColumn("_hashes", F.when(n > WINDOW, doubled(w, 1)))
+            .withColumn("_hashes", doubled(F.col("_hashes"), 2)).withColumn("_hashes", doubled(F.col("_hashes"), 4))
+            .withColumn("_placed", placed)
             .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
             .withColumn("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
             .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
