@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, quality, token_counts
+from . import bpe, mix, pii, quality, token_counts
 from .store import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,14 @@ def op3_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", token_counts.count_tokens(F.col("text"), path).alias("n_tokens"))
 
 
+@query
+def op4_find_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.private_data(docs, "text")
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.encode(pii.listed(F.col("plain")), "UTF-8"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .store import written
