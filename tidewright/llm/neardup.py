@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -107,11 +107,15 @@ def sketched(df: DataFrame, id: str, text: str, shingles: Callable[[], Callable]
     return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, fingerprint binary, registers binary")
 
 
-def coarse(classes: DataFrame) -> DataFrame:
+def buckets() -> Column:
+    """The bands of the registers as an array of hashes."""
+    return F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+
+
+def coarse(classes: DataFrame, bands: Column) -> DataFrame:
     """Columns class, group: classes of equal sets that share a bucket of any band, directly or through others. In each
     bucket all members are tied to the smallest, which needs a minimum only. Linked classes are in one group but for
     the chance (a few in a million at the least similarity) that no band agrees."""
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     rows = classes.select("class", F.explode(bands).alias("bucket"))
     first = rows.groupBy("bucket").agg(F.min("class").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     ties = rows.join(first, "bucket").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
@@ -133,11 +137,12 @@ class _Forest:
         return i != j
 
 
-def linked_within(sets: list[np.ndarray], regs: np.ndarray, percent: int, known: list[int] | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int, known: list[int] | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the members of a group as all links of at least ``percent`` would. Pairs whose registers'
     likelihood puts them within six standard deviations of that are looked at if nothing connects them yet; a member's
     overlaps with all others come from an index of shingles at once, and exact counts decide. ``known`` gives
-    components found before; with ``queries`` only pairs with one of those are looked at."""
+    components found before; with ``queries`` only pairs with one of those are looked at; without registers all pairs
+    of fitting sizes that nothing connects are counted."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
@@ -158,22 +163,20 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray, percent: int, known:
         others = others[(np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent) & (others != i)]
         if not len(others):
             continue
-        equal = (regs[others] == regs[i]).sum(axis=1)
-        others, equal = others[equal >= agree], equal[equal >= agree]
+        if regs is not None:
+            others = others[(regs[others] == regs[i]).sum(axis=1) >= agree]
         root = forest.root(i)
-        fresh = np.array([forest.root(int(j)) != root for j in others], bool)
-        others, equal = others[fresh], equal[fresh]
+        others = others[np.array([forest.root(int(j)) != root for j in others], bool)]
+        if regs is not None and len(others):
+            equal, above = (regs[others] == regs[i]).sum(axis=1), (regs[i] > regs[others]).sum(axis=1)
+            others = others[estimate(above, REGISTERS - above - equal, equal, np.full(len(others), size[i], "f8"), size[others].astype("f8")) >= least]
         if not len(others):
             continue
-        above = (regs[i] > regs[others]).sum(axis=1)
-        likely = others[estimate(above, REGISTERS - above - equal, equal, np.full(len(others), size[i], "f8"), size[others].astype("f8")) >= least]
-        if not len(likely):
-            continue
         own = dense[starts[i]:starts[i + 1]]
         lengths = first[own + 1] - first[own]
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared = np.bincount(owner[at], minlength=n)[likely]
-        for j in likely[shared * 100 >= percent * (size[i] + size[likely] - shared)]:
+        shared = np.bincount(owner[at], minlength=n)[others]
+        for j in others[shared * 100 >= percent * (size[i] + size[others] - shared)]:
             if forest.join(i, int(j)):
                 out.append((i, int(j)))
     return out
@@ -203,7 +206,9 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
             group.sort(key=lambda r: (r["class"], not r["asks"]))
             group = [r for i, r in enumerate(group) if i == 0 or group[i - 1]["class"] != r["class"]]
             sets = [of(r["text"]) for r in group]
-            regs = np.frombuffer(b"".join(r["registers"] for r in group), "<u2").reshape(len(group), REGISTERS)
+            regs = None
+            if "registers" in group[0]:
+                regs = np.frombuffer(b"".join(r["registers"] for r in group), "<u2").reshape(len(group), REGISTERS)
             known = [r["component"] for r in group] if group[0]["component"] is not None else None
             asks = np.flatnonzero([r["asks"] for r in group]) if any(r["asks"] for r in group) else None
             for i, j in linked_within(sets, regs, percent, known, asks):
@@ -214,23 +219,24 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.select(*keys, "class", "registers", "text", "component", "asks")
+    rows = rows.select(*keys, "class", *[c for c in rows.columns if c == "registers"], "text", "component", "asks")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def connect(classes: DataFrame, texts: DataFrame, shingles: Callable[[], Callable], percent: int) -> DataFrame:
+def connect(classes: DataFrame, bands: Column, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int) -> DataFrame:
     """Columns class, component over the classes that are linked to others at all.
 
-    ``classes``: class, n, registers; ``texts``: class, text. Only texts of classes that share a bucket with others are
+    ``classes``: class, n and what ``bands``, an array of buckets, is made of; registers help to compare, if there are
+    any. ``texts`` adds a column text to rows with the columns of ``classes``. Only texts of classes that share a bucket with others are
     moved. A group that fits one task is compared there. A larger one, such as the near copies of one text that fill a
     third of all rows, is dealt into blocks by hash, each with the same few pivots of the group; nearly all its members
     then hang together through the pivots, and the rest is compared, in blocks, with every block. No pair that could be
     linked is left out, and no task holds more than a few blocks."""
-    groups = coarse(classes).join(classes, "class")
+    groups = written(coarse(classes, bands).join(classes, "class"))
     sizes = written(groups.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
                     .select("group", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("s") / SHINGLES)).alias("blocks")))
     empty = F.lit(None).cast("long")
-    members = groups.join(sizes, "group").join(texts, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    members = texts(groups.join(sizes, "group")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     members = members.withColumn("component", empty).withColumn("asks", F.lit(False))
     if not sizes.where("blocks > 1").head(1):
         return components(_link(members, ["group"], shingles, percent)).select(F.col("node").alias("class"), "component")
@@ -257,8 +263,6 @@ def connect(classes: DataFrame, texts: DataFrame, shingles: Callable[[], Callabl
 
 def _smallest(rows: DataFrame, by_hash) -> DataFrame:
     """The PIVOTS rows of each group with the smallest hashes; tasks pass on so many per group at most."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("group").orderBy(by_hash))
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= PIVOTS).drop("_nth")
 
@@ -276,7 +280,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, width: int = 5, percent:
     classes = written(rows.where("n > 0 and id is not null").groupBy("fingerprint")
                       .agg(F.min("id").alias("class"), F.max("n").alias("n"), F.max("registers").alias("registers")))
     texts = df.select(F.col(id).cast("long").alias("class"), F.col(text).alias("text"))
-    found = written(connect(classes.drop("fingerprint"), texts, how, percent))
+    found = written(connect(classes.drop("fingerprint"), buckets(), lambda rows: rows.join(texts, "class"), how, percent))
     named = (classes.select("fingerprint", "class").join(found, "class", "left")
              .select("fingerprint", F.coalesce("component", "class").alias("component")))
     return (rows.join(named, "fingerprint", "left")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, neardup, pii, quality, token_counts, toxicity
+from . import bpe, lines, mix, neardup, pii, quality, token_counts, toxicity
 from .store import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op7_drop_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @query
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
