@@ -69,8 +69,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"), "doc_id", "text", "label", "lang")
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"), "doc_id", "text", "lang", "toxic")
     scored = toxicity.classify(docs, model, "text", "lang")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")
 
