@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mix, neardup, pii, quality, token_counts, toxicity
+from . import bpe, lines, mix, neardup, passages, pii, quality, token_counts, toxicity
 from .store import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op6_drop_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.drop_repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query
 def op7_drop_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -137,3 +143,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT out AS kept FROM x JOIN bad USING (doc_id)""".replace("LEASTS", _LEAST)
 for _at, _name in zip("ABCDEF", ("a", "b", "c1", "d", "e", "f"), strict=True):
     SQL["op5_adaptive_quality"] = SQL["op5_adaptive_quality"].replace(f"'bin': {_at}}}", f"'bin': {_BIN.format(_name)}}}")
+
+SQL["op6_drop_repeated_passages"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS h FROM v),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM c),
+g AS (SELECT doc_id, list(p) AS gone FROM p GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)"""
