@@ -145,18 +145,14 @@ def _unhide(text: str) -> Rewritten:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs of four or more digits of which two or more are words become digits; ``dot`` and ``plus`` among them signs."""
-    edits = []
-    for m in _SPELLED_RUN.finditer(text):
-        if sum(bool(t["word"]) for t in _IN_RUN.finditer(m[0])) > 1:
-            for t in _IN_RUN.finditer(m[0]):
-                new = "+" if t["plus"] or t[0] == "+" else "." if t["dot"] else str(SPELLED[t["word"].lower()]) if t["word"] else t[0]
-                edits.append((m.start() + t.start(), m.start() + t.end(), new))
-    # what lies between two digits of a run goes
     out: list[tuple[int, int, str]] = []
     for m in _SPELLED_RUN.finditer(text):
-        own = [e for e in edits if m.start() <= e[0] < m.end()]
-        for one, following in zip(own, [*own[1:], None], strict=True):
-            out.append((one[0], following[0] if following else one[1], one[2]))
+        signs = list(_IN_RUN.finditer(m[0]))
+        if sum(bool(t["word"]) for t in signs) > 1:
+            for k, t in enumerate(signs):
+                new = "+" if t["plus"] or t[0] == "+" else "." if t["dot"] else str(SPELLED[t["word"].lower()]) if t["word"] else t[0]
+                # what lies between two signs of a run goes
+                out.append((m.start() + t.start(), m.start() + (signs[k + 1].start() if k + 1 < len(signs) else t.end()), new))
     return out
 
 
