@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .neardup import connect, mixed
 from .store import WORD, written
 
-#: Characters a shingle; bands of MinHash values. A pair of similarity 0.8 shares a band with probability 0.9998.
-WIDTH, BANDS, ROWS = 8, 12, 3
+#: Characters a shingle; bands of MinHash values. A pair of similarity 0.8 shares a band with probability 0.998,
+#: one of 0.85 with 0.9999; bands of three values would tie together lines that share a common phrase only.
+WIDTH, BANDS, ROWS = 8, 12, 4
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PRIME = 0x9E3779B97F4A7C15
 #: Characters hashed at once.
