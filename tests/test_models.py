@@ -98,7 +98,8 @@ def test_arima_recovers_autoregression():
 
 def test_arima_grid(spark):
     got = [r.cand for r in AR.arima_grid(spark).collect()]
-    assert len(got) == 6 and not any('"p": 0' in c and '"q": 0' in c for c in got)
+    assert len(got) == 10 and got[:6] == [r.cand for r in AR.arima_grid(spark, n=6).collect()]
+    assert not any('"p": 0' in c and '"q": 0' in c for c in got)
     assert len(AR.arima_grid(spark, p=(0,), d=(0, 1), q=(0,)).collect()) == len(AR.FALLBACK)
 
 

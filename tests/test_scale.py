@@ -19,12 +19,11 @@ def test_quantiles_by_rank(spark):
     rows = [("hot", float(rng.choice([1, 2, 2, 3, 50, rng.random() * 100]))) for _ in range(3000)] + [("cold", v) for v in (4.0, 1.0)] + [(None, 5.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q9": 0.9, "q1": 1.0}
-    for small in (0, 10**6):
-        got = {r.k: [r[c] for c in probs] for r in exact_quantiles(df, ["k"], "v", probs, buckets=16, small=small).collect()}
-        for k in ("hot", "cold", None):
-            want = np.quantile([v for kk, v in rows if kk == k], list(probs.values()))
-            assert got[k] == pytest.approx(list(want))
-    whole = exact_quantiles(df, [], "v", {"m": 0.5}, small=0).first()["m"]
+    got = {r.k: [r[c] for c in probs] for r in exact_quantiles(df, ["k"], "v", probs, buckets=16).collect()}
+    for k in ("hot", "cold", None):
+        want = np.quantile([v for kk, v in rows if kk == k], list(probs.values()))
+        assert got[k] == pytest.approx(list(want))
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
     assert whole == pytest.approx(float(np.median([v for _, v in rows])))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_numeric
+from ..functions.dates import parse_date
 from .base import Keys, codes, ordered, series_len
 
 
@@ -77,7 +78,7 @@ def filter_status(df: DataFrame, statuses: Sequence[str], col: str = "status") -
 
 def validate_input(df: DataFrame, ds: str, y: str, horizon: int) -> DataFrame:
     """One row of counts and codes about a raw table before anything is fitted."""
-    target, day = F.col(y), F.try_to_date(F.col(ds).cast("string"))
+    target, day = F.col(y), parse_date(F.col(ds))
     any_blank = None
     for c in df.columns:
         blank = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")

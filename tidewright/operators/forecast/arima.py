@@ -16,15 +16,15 @@ DEGENERATE = ((0, 0, 0), (0, 1, 0), (0, 2, 0))
 FALLBACK = ((1, 1, 1), (2, 1, 1), (1, 1, 2), (2, 1, 2), (1, 0, 1))
 
 
-def arima_grid(spark: SparkSession, p=(0, 1, 2), d=(0, 1), q=(0, 1), n: int = 6) -> DataFrame:
-    """Orders without the degenerate ones, simplest first, at most n; fallback orders when none remain."""
+def arima_grid(spark: SparkSession, p=(0, 1, 2), d=(0, 1), q=(0, 1), n: int | None = None) -> DataFrame:
+    """Orders without the degenerate ones, simplest first, at most n if given; fallback orders when none remain."""
     orders = [o for o in product(p, d, q) if o not in DEGENERATE] or list(FALLBACK)
     grid = grid_table(spark, [{"p": a, "d": b, "q": c} for a, b, c in orders])
     size = sum((F.get_json_object("cand", f"$.{k}").cast("int") for k in ("p", "d", "q")), F.lit(0))
     return limit_grid(grid, n, complexity=size)
 
 
-def sarimax_grid(spark: SparkSession, period: int, p=(0, 1, 2), d=(0, 1), q=(0, 1), n: int = 6) -> DataFrame:
+def sarimax_grid(spark: SparkSession, period: int, p=(0, 1, 2), d=(0, 1), q=(0, 1), n: int | None = None) -> DataFrame:
     orders = [o for o in product(p, d, q) if o not in DEGENERATE] or list(FALLBACK)
     grid = grid_table(spark, [{"p": a, "d": b, "q": c, "period": period} for a, b, c in orders])
     size = sum((F.get_json_object("cand", f"$.{k}").cast("int") for k in ("p", "d", "q")), F.lit(0))

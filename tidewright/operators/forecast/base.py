@@ -32,10 +32,10 @@ def grid_table(spark: SparkSession, grid: Mapping[str, Sequence[object]] | Itera
     return spark.createDataFrame([(r,) for r in rows], "cand string")
 
 
-def limit_grid(grid: DataFrame, n: int, seed: int | None = None, complexity: Column | None = None) -> DataFrame:
-    """At most n candidates: the simplest, or a seeded sample that does not depend on partitioning."""
+def limit_grid(grid: DataFrame, n: int | None, seed: int | None = None, complexity: Column | None = None) -> DataFrame:
+    """At most n candidates (all if None): the simplest, or a seeded sample that does not depend on partitioning."""
     order = [complexity, F.col("cand")] if complexity is not None else [F.xxhash64(F.col("cand"), F.lit(seed or 0)), F.col("cand")]
-    return grid.orderBy(*order).limit(n)
+    return grid.orderBy(*order) if n is None else grid.orderBy(*order).limit(n)
 
 
 def future_frame(df: DataFrame, keys: Keys, h: int, freq: str, start: str | None = None) -> DataFrame:

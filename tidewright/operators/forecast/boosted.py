@@ -37,12 +37,15 @@ def feature_rows(df: DataFrame, keys: Keys, freq: str, covs: Sequence[str] = ())
     rows = numbered(df, keys).join(df.select(*keys, "ds", *covs), [*keys, "ds"]) if covs else numbered(df, keys)
     mean = F.avg(F.abs("y")).over(by(keys))
     rows = rows.withColumn("_scale", F.when(mean > 0, mean).otherwise(1.0)).withColumn("y", F.col("y") / F.col("_scale"))
-    rows = add_tree_lags(rows, keys, freq).select("*", *[v.alias(k) for k, v in _calendar(F.col("ds")).items()])
+    # lags a series is too short for take its (scaled) mean
+    level = F.avg("y").over(by(keys))
+    rows = add_tree_lags(rows, keys, freq)
+    rows = rows.withColumns({c: F.coalesce(c, level) for c in lag_names(freq)}).select("*", *[v.alias(k) for k, v in _calendar(F.col("ds")).items()])
     return rows, [*lag_names(freq), *CALENDAR, "t", *covs]
 
 
 def fit_boosted(rows: DataFrame, features: Sequence[str], n_trees: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42) -> GBTRegressionModel:
-    data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows).select("features", F.col("y").alias("label"))
+    data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(rows).where("y is not null").select("features", F.col("y").alias("label"))
     return GBTRegressor(maxIter=n_trees, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8).fit(data)
 
 
@@ -50,7 +53,7 @@ def boosted(df: DataFrame, future: DataFrame, keys: Keys, freq: str, h: int, cov
     """Pooled fit and recursive forecast: ``keys, h, ds, yhat`` with bounds from the fitted errors."""
     rows, features = feature_rows(df, keys, freq, covs)
     model = fit_boosted(rows, features, n_trees, depth)
-    fitted = model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows))
+    fitted = model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows))
     err = fitted.groupBy(*keys).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("_sd"))
     k = YOY_LAG[freq]
     keep = k + 8
@@ -62,7 +65,7 @@ def boosted(df: DataFrame, future: DataFrame, keys: Keys, freq: str, h: int, cov
         F.array_sort(F.collect_list(F.struct("h", "ds", *[F.col(c).cast("double").alias(c) for c in covs]))).alias("f"))
     state = state.join(ahead, list(keys)) if keys else state.crossJoin(ahead)
     state = state.withColumn("p", F.array().cast("array<double>"))
-    asm = VectorAssembler(inputCols=features, outputCol="features")
+    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
     def back(i: int) -> Column:
         """Value i steps before the next one, or the oldest known."""
@@ -86,6 +89,6 @@ def boosted(df: DataFrame, future: DataFrame, keys: Keys, freq: str, h: int, cov
             state = cut_lineage(state)
     out = state.select(*keys, "_scale", F.posexplode("p").alias("i", "q"), "f")
     out = out.select(*keys, "_scale", "q", F.element_at("f", F.col("i") + 1).alias("d"))
-    out = out.join(err, list(keys)) if keys else out.crossJoin(err)
+    out = out.join(err, list(keys), "left") if keys else out.crossJoin(err)
     value, margin = F.col("q") * F.col("_scale"), 1.96 * F.col("_sd") * F.col("_scale") * F.sqrt(F.col("d.h"))
     return out.select(*keys, F.col("d.h").alias("h"), F.col("d.ds").alias("ds"), value.alias("yhat"), (value - margin).alias("yhat_lower"), (value + margin).alias("yhat_upper"))

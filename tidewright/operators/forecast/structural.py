@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..base import Keys
-from ..calendar import WINDOWS, holiday_windows, years_table
+from ..calendar import WINDOWS, holiday_windows, years_of
 from .base import fan_out, grid_table, limit_grid, rms
 
 # fixed values: parameter lists of the full grid
@@ -19,12 +19,12 @@ GRID = {
 KNOTS = 12
 
 
-def holiday_columns(df: DataFrame, ds: str = "ds", weekly: bool = True, y0: int = 1950, y1: int = 2100) -> DataFrame:
+def holiday_columns(df: DataFrame, ds: str = "ds", weekly: bool = True) -> DataFrame:
     """One 0/1 column per holiday: the effect window touches the day, or for weekly rows one of its seven days.
 
-    The day table depends on the year range only (some 5 days for 13 holidays a year), so it is broadcast.
+    The day table covers the years of the data and one either side (some 5 days for 13 holidays a year), so it is broadcast.
     """
-    days = holiday_windows(years_table(df.sparkSession, y0, y1)).select("holiday", "day")
+    days = holiday_windows(years_of(df, ds, 1)).select("holiday", "day")
     if weekly:
         days = days.select("holiday", F.explode(F.sequence(F.date_sub("day", 6), F.col("day"))).alias("day"))
     names = days.groupBy(F.col("day").alias(ds)).agg(F.collect_set("holiday").alias("_hol"))
@@ -35,7 +35,7 @@ def holiday_columns(df: DataFrame, ds: str = "ds", weekly: bool = True, y0: int
 HOLIDAY_COLS = tuple(f"hol_{n}" for n in WINDOWS)
 
 
-def structural_grid(spark: SparkSession, freq: str, n: int = 20, seed: int = 42, grid=GRID) -> DataFrame:
+def structural_grid(spark: SparkSession, freq: str, n: int | None = None, seed: int = 42, grid=GRID) -> DataFrame:
     return limit_grid(grid_table(spark, {**grid, "freq": (freq,)}), n, seed)
 
 

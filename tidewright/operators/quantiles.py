@@ -1,7 +1,7 @@
 """Exact interpolated quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which a group with a third
-of all rows would not survive.  Above a group size a bounded sketch only chooses cut points; equal values are
+of all rows would not survive.  A bounded sketch only chooses cut points; equal values are
 collapsed first, counts per bucket locate the wanted ranks, and only the buckets holding them
 are ordered.
 """
@@ -17,17 +17,10 @@ from pyspark.sql import Window as W
 from .base import Keys
 
 
-def exact_quantiles(df: DataFrame, keys: Keys, col: str, probs: dict[str, float], buckets: int = 200, small: int = 1_000_000) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (linear interpolation).
-
-    Group sizes are checked first (one number reaches the driver): while the largest stays below ``small`` the
-    built-in aggregate does it in one pass.
-    """
+def exact_quantiles(df: DataFrame, keys: Keys, col: str, probs: dict[str, float], buckets: int = 200) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` (linear interpolation), the same way for groups of any size."""
     k = list(keys)
     rows = df.where(F.col(col).isNotNull()).select(*k, F.col(col).cast("double").alias("v"))
-    largest = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= small:
-        return rows.groupBy(*k).agg(*[F.percentile("v", F.lit(p)).alias(name) for name, p in probs.items()])
     return _by_rank(rows, k, probs, buckets)
 
 

@@ -43,7 +43,7 @@ def ranked_results(res: DataFrame) -> DataFrame:
 def recent_results(jobs: DataFrame, res: DataFrame) -> DataFrame:
     """Results of completed jobs, latest job first, best model first."""
     done = jobs.where("status = 'COMPLETED'").select("job_id", "user_id", "submitted_at", "completed_at", "horizon", "frequency")
-    return done.join(ranked_results(res), "job_id").orderBy(F.desc("completed_at"), F.col("rank_by_mape").asc_nulls_last(), "job_id", "model_name")
+    return done.join(ranked_results(res), "job_id").orderBy(F.desc("completed_at"), F.col("rank_by_mape").asc_nulls_last(), "job_id", "model_name", "mape", "rmse")
 
 
 def active_jobs(jobs: DataFrame, queue: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def model_trend(jobs: DataFrame, res: DataFrame, user: str | int | None, model:
     if user is not None:
         done = done.where(F.col("user_id") == user)
     rows = ranked_results(res).where(F.col("model_name") == model).join(done.select("job_id", "submitted_at"), "job_id")
-    return rows.select("job_id", "submitted_at", "mape", "rmse", "is_best_model").orderBy(F.desc("submitted_at"), "job_id").limit(n)
+    return rows.select("job_id", "submitted_at", "mape", "rmse", "is_best_model").orderBy(
+        F.desc("submitted_at"), "job_id", F.col("mape").asc_nulls_last(), F.col("rmse").asc_nulls_last()).limit(n)
 
 
 def compare_runs(jobs: DataFrame, res: DataFrame, ids: Sequence[object] | DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,7 @@ def profile(rows: DataFrame, keys: Keys, freq: str, covs: Sequence[str] = ()) ->
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("y") < F.col("_q1") - 1.5 * iqr) | (F.col("y") > F.col("_q3") + 1.5 * iqr)
     shape = lines.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) >= 10, F.least(F.count_if(out), F.lit(10))).otherwise(0).alias("n_outliers"),
+        F.when(F.count(F.lit(1)) >= 10, F.count_if(out)).otherwise(0).alias("n_outliers"),
         F.coalesce((F.count(F.lit(1)) >= 10) & (F.abs(F.regr_slope("y", "t")) > F.stddev_pop("y") * 0.01), F.lit(False)).alias("has_trend"))
     season = S.circular_acf(panel, keys, PERIOD[freq]).select(*keys, "has_seasonality")
     gaps = missing_periods(panel, keys, freq).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_missing_periods"))

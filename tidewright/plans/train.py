@@ -17,10 +17,13 @@ from ..session import cut_lineage
 
 
 def weekly_naive_ranking(panel: DataFrame, keys: Keys, h: int = 12, freq: str = "weekly") -> DataFrame:
-    """Tail removal, split, seasonal naive against mean drift on the holdout, metrics and rank of both."""
+    """Tail removal, split, seasonal naive against mean drift on the holdout, metrics and rank of both. A series too
+    short for a holdout is ranked by its eval rows."""
     rows = split_series(drop_incomplete_tail(panel, keys), keys, h)
-    train = rows.where("split <> 'holdout'").select(*keys, "ds", "y")
-    held = rows.where("split = 'holdout'").select(*keys, "ds", "y", F.row_number().over(by(keys).orderBy("ds")).alias("h"))
+    test = F.when(F.max(F.col("split") == "holdout").over(by(keys)), "holdout").otherwise("eval")
+    rows = rows.withColumn("_test", F.col("split") == test)
+    train = rows.where(~F.col("_test")).select(*keys, "ds", "y")
+    held = rows.where("_test").select(*keys, "ds", "y", F.row_number().over(by(keys).orderBy("ds")).alias("h"))
     fc = NV.seasonal_naive(train, keys, h).withColumn("model", F.lit("seasonal_naive")).unionByName(
         NV.mean_drift(train, keys, h).withColumn("model", F.lit("mean_drift")))
     pairs = fc.join(held, [*keys, "h"])
@@ -31,7 +34,7 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
     """``models`` maps a name to a maker of forecasters: called with None it searches its own grid, called with
     winners it fits only those.
 
-    Scores and ranking are written to the shared folder (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error, and the
+    Scores and ranking are written to the shared folder (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error (by eval error where a series has no holdout), and the
     ``forecast`` of each series by its best model fitted on all its rows.
     """
     keys = list(keys)
@@ -44,6 +47,7 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
 
     held, final = numbered_rows("eval"), numbered_rows("holdout")
     upto_eval = rows.where("split <> 'holdout'").drop("split")
+    tested = final.select(*keys).distinct() if keys else None
     scores, winners, holdout = [], {}, []
     for name, maker in models.items():
         fc = maker(None)(train, held.drop("y"), keys).where(F.col("yhat").isNotNull())
@@ -53,7 +57,10 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
         winners[name] = select_candidate(s, keys)
         test = refit(upto_eval, final.drop("y"), keys, winners[name], maker).where(F.col("yhat").isNotNull())
         m = metrics(test.join(final.select(*keys, "ds", "y"), [*keys, "ds"]), [*keys, "cand"]).withColumn("model", F.lit(name))
-        holdout.append(m)
+        # a series too short for a holdout goes on with its eval rows
+        chosen = s.join(winners[name].select(*keys, "cand"), [*keys, "cand"])
+        chosen = chosen.join(tested, keys, "left_anti") if keys else chosen.where(F.lit(not final.head(1)))
+        holdout.append(m.unionByName(chosen.select(*m.columns)))
     every, held_out = scores[0], holdout[0]
     for s in scores[1:]:
         every = every.unionByName(s)

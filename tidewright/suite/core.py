@@ -69,7 +69,7 @@ def _(spark, d):
 @query("flt10_validate_input", "n_rows:i missing_target:i invalid_dates:i blank_rows:i codes:a", f"""
 {ctes('messy')}, f AS (SELECT count(*) n_rows, count(*) FILTER (num_text IN ('n/a', '') OR num_text LIKE '%EUR' OR num_text LIKE '(%'
   OR num_text LIKE '%\\%' ESCAPE '\\' OR num_text LIKE '%.%.%') missing_target,
-  count(*) FILTER (id % 12 NOT IN (0, 10)) invalid_dates,
+  count(*) FILTER (id % 12 = 11) invalid_dates,
   count(*) FILTER (num_text = '' OR trim(date_text) = '' OR trim(str_text) = '') blank_rows FROM messy)
 SELECT *, list_filter([CASE WHEN missing_target > 0 THEN 'missing_target' END, CASE WHEN invalid_dates > 0 THEN 'invalid_dates' END,
   CASE WHEN n_rows <= 12 THEN 'insufficient_rows' END, CASE WHEN blank_rows > n_rows * 0.1 THEN 'many_blanks' END], lambda x: x IS NOT NULL) AS codes FROM f""")

@@ -218,4 +218,4 @@ def _(spark, d):
 
 @query("int7_bootstrap_interval", "series:s h:i yhat:f6 lower_50:f4 upper_50:f4 lower_95:f4 upper_95:f4")
 def _(spark, d):
-    return I.bootstrap_interval(panel(spark, d, "fc"), panel(spark, d, "resid"), K, 500)
+    return I.bootstrap_interval(panel(spark, d, "fc"), panel(spark, d, "resid"), K)

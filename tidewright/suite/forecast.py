@@ -80,7 +80,7 @@ _ORDERS = "SELECT p, d, q FROM (SELECT unnest([0,1,2]) AS p), (SELECT unnest([0,
 {ctes('weekly')}, o AS ({_ORDERS}), s AS (SELECT series, count(*) AS n_rows FROM weekly GROUP BY series) SELECT series, '{{"d": ' || d || ', "p": ' || p || ', "q": ' || q || '}}' AS cand, n_rows FROM s, o""")
 def _(spark, d):
     series = panel(spark, d, "weekly").groupBy("series").agg(F.count(F.lit(1)).alias("n_rows"))
-    return J.cross_candidates(series, AR.arima_grid(spark))
+    return J.cross_candidates(series, AR.arima_grid(spark, n=6))
 
 
 def model_scores(spark, d):
@@ -156,7 +156,7 @@ def _(spark, d):
     flags = ["is_christmas_week", "is_thanksgiving_week"]
     fut = J.fill_future_covariates(B.future_frame(df, K, H, "weekly"), df, K, ["disc", "promo"])
     hist, ahead = C.add_weekly_holidays(df), C.add_weekly_holidays(fut)
-    return AR.sarimax(hist, ahead, K, AR.sarimax_grid(spark, 52, n=3), ["disc", "promo", *flags])
+    return AR.sarimax(hist, ahead, K, AR.sarimax_grid(spark, 52), ["disc", "promo", *flags])
 
 
 @query("fc6_structural", _FC)
@@ -168,7 +168,7 @@ def _(spark, d):
 @query("fc7_boosted", "series:s h:i ds:d yhat:f4 yhat_lower:f4 yhat_upper:f4")
 def _(spark, d):
     df = panel(spark, d, "weekly")
-    return BO.boosted(df, B.future_frame(df, K, 6, "weekly"), K, "weekly", 6, n_trees=10, depth=3)
+    return BO.boosted(df, B.future_frame(df, K, H, "weekly"), K, "weekly", H)
 
 
 @query("fc8_theta", _FC)
@@ -182,7 +182,7 @@ def _(spark, d):
     def maker(model, grid):
         return lambda winners: B.registered(model, grid if winners is None else winners)
 
-    models = {"ets": maker(SM.ets_model, SM.ets_grid(spark, 52)), "theta": maker(SM.theta_model, B.grid_table(spark, [{"period": 52}])), "arima": maker(AR.arima_model, AR.arima_grid(spark, n=4))}
+    models = {"ets": maker(SM.ets_model, SM.ets_grid(spark, 52)), "theta": maker(SM.theta_model, B.grid_table(spark, [{"period": 52}])), "arima": maker(AR.arima_model, AR.arima_grid(spark))}
     return train_models(panel(spark, d, "weekly"), K, "weekly", H, models)["forecast"]
 
 

@@ -180,7 +180,7 @@ def _profile_sql():
  count(*) > count(DISTINCT ds) AS has_multiple_slices, count(*) // count(DISTINCT ds) AS slice_count FROM rws GROUP BY series),
 p AS (SELECT series, ds, sum(y) AS y FROM rws GROUP BY ALL), nm AS (SELECT series, ds, y, row_number() OVER (PARTITION BY series ORDER BY ds) - 1 AS t, count(*) OVER (PARTITION BY series) AS n FROM p WHERE y IS NOT NULL),
 q AS (SELECT series, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM nm GROUP BY series),
-sh AS (SELECT series, least(10, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1))) AS n_outliers, abs(regr_slope(y, t)) > stddev_pop(y) * 0.01 AS has_trend FROM nm JOIN q USING (series) GROUP BY series),
+sh AS (SELECT series, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS n_outliers, abs(regr_slope(y, t)) > stddev_pop(y) * 0.01 AS has_trend FROM nm JOIN q USING (series) GROUP BY series),
 c AS (SELECT series, t, n, y - avg(y) OVER (PARTITION BY series) AS c, var_pop(y) OVER (PARTITION BY series) AS v FROM nm),
 se AS (SELECT a.series, sum(a.c * z.c) / any_value(a.n) / any_value(a.v) > 0.3 AS has_seasonality FROM c a JOIN c z ON a.series = z.series AND z.t = (a.t - 12 + a.n) % a.n GROUP BY a.series HAVING any_value(a.n) > 24),
 mi AS (SELECT series, count(*) AS k FROM (SELECT series, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS DATE) AS ds FROM p GROUP BY series EXCEPT SELECT series, ds FROM p) GROUP BY series),

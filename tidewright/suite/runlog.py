@@ -40,7 +40,7 @@ def _(spark, d):
 
 
 @query("log4_model_trend", "job_id:i submitted_at:t mape:f6 rmse:f2 is_best_model:b", f"""
-{ctes('jobs', 'results')}, {RANKED} SELECT job_id, submitted_at, mape, rmse, is_best_model FROM rr JOIN jobs USING (job_id) WHERE status = 'COMPLETED' AND model_name = 'ets' ORDER BY submitted_at DESC, job_id LIMIT 20""")
+{ctes('jobs', 'results')}, {RANKED} SELECT job_id, submitted_at, mape, rmse, is_best_model FROM rr JOIN jobs USING (job_id) WHERE status = 'COMPLETED' AND model_name = 'ets' ORDER BY submitted_at DESC, job_id, mape NULLS LAST, rmse NULLS LAST LIMIT 20""")
 def _(spark, d):
     return R.model_trend(panel(spark, d, "jobs"), panel(spark, d, "results"), None, "ets", 20)
 
@@ -105,10 +105,10 @@ def _(spark, d):
 
 
 @query("srt4_order_jobs", "job_id:i status:s priority:s place:i", f"""
-{ctes('jobs', 'queue')} SELECT job_id, status, priority, row_number() OVER (ORDER BY CASE status WHEN 'RUNNING' THEN 1 WHEN 'QUEUED' THEN 2 ELSE 3 END, {PRIO} NULLS LAST, submitted_at, job_id) AS place FROM jobs JOIN queue USING (job_id) ORDER BY place LIMIT 200""")
+{ctes('jobs', 'queue')} SELECT job_id, status, priority, row_number() OVER (ORDER BY CASE status WHEN 'RUNNING' THEN 1 WHEN 'QUEUED' THEN 2 ELSE 3 END, {PRIO} NULLS LAST, submitted_at, job_id) AS place FROM jobs JOIN queue USING (job_id)""")
 def _(spark, d):
     jobs = J.join_runs(panel(spark, d, "jobs"), panel(spark, d, "queue"), "inner")
-    top = S.order_jobs(jobs, R.priority_rank(F.col("priority"))).limit(200)
+    top = S.order_jobs(jobs, R.priority_rank(F.col("priority")))
     from pyspark.sql import Window as W
 
     order = W.orderBy(S.state_rank(F.col("status")), R.priority_rank(F.col("priority")).asc_nulls_last(), "submitted_at", "job_id")
