@@ -13,7 +13,8 @@ from tidewright.operators.forecast import naive as NV
 from tidewright.operators.forecast import smooth as SM
 from tidewright.operators.forecast import structural as ST
 from tidewright.operators.signals import _adf_p, _kpss_p, forecastability, spectral_entropy
-from tidewright.plans.train import train_models
+from tidewright.plans.profile import profile
+from tidewright.plans.train import train_models, weekly_naive_ranking
 
 K = ["series"]
 RNG = np.random.RandomState(42)
@@ -165,6 +166,39 @@ def test_boosted_learns_the_season(spark, series):
         assert r.yhat / (4 if r.series == "b" else 1) == pytest.approx(want[r.h], rel=0.15)
 
 
+def test_short_series_are_not_lost(spark, series):
+    df = series(long=list(SINE), short=list(SINE[:36]), one=[5.0])
+
+    def maker(model, grid):
+        return lambda winners: B.registered(model, grid if winners is None else winners)
+
+    out = train_models(df, K, "weekly", 8, {"ets": maker(SM.ets_model, SM.ets_grid(spark, 52)), "theta": maker(SM.theta_model, B.grid_table(spark, [{"period": 52}]))})
+    assert {r.series for r in out["forecast"].select("series").distinct().collect()} >= {"long", "short"}
+    assert {r.series for r in weekly_naive_ranking(df, K, 8).collect()} >= {"long", "short"}
+    fc = BO.boosted(df, B.future_frame(df, K, 4, "weekly"), K, "weekly", 4, n_trees=5, depth=3).collect()
+    assert sorted({(r.series, r.h) for r in fc}) == [(s, h) for s in ("long", "one", "short") for h in range(1, 5)]
+    assert all(r.yhat is not None for r in fc)
+
+
+def test_naive_forecaster_of_any_horizon(spark, series):
+    df = series(a=list(SINE), b=list(SINE[:20]))
+    got = NV.naive_forecaster(df, B.future_frame(df, K, 500, "weekly"), K).collect()
+    same = {(r.series, r.h): r.yhat for r in NV.seasonal_naive(df, K, 500).collect()}
+    assert len(got) == 1000 and all(r.yhat == pytest.approx(same[r.series, r.h]) for r in got)
+
+
+def test_holidays_of_distant_years(spark):
+    df = spark.sql("SELECT explode(array(DATE'1940-12-23', DATE'2024-12-23', DATE'2110-12-22')) AS ds")
+    rows = ST.holiday_columns(df).collect()
+    assert len(rows) == 3 and all(sum(v for k, v in r.asDict().items() if k.startswith("hol_")) > 0 for r in rows)
+
+
+def test_profile_counts_all_outliers(spark, series):
+    y = [100.0 + i % 7 for i in range(300)]
+    y[::10] = [10_000.0] * 30
+    assert profile(series(a=y), K, "weekly").first()["n_outliers"] == 30
+
+
 def test_metric_pairs(spark):
     df = spark.createDataFrame([(100.0, 102.0), (110.0, 108.0), (120.0, 122.0), (130.0, 128.0), (140.0, 142.0)], "y double, yhat double")
     r = metrics(df, []).first()

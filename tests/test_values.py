@@ -31,6 +31,11 @@ def test_dates(spark):
     assert got == [d(2024, 1, 15)] * 4 + [d(2025, 12, 8), d(2024, 1, 15), d(2024, 1, 15), d(2024, 1, 1), d(2024, 1, 8), d(2024, 7, 1), d(2024, 1, 15), d(2024, 12, 25), None, None, None, None, None]
 
 
+def test_times_after_dates(spark):
+    got = one(spark, ["2024-01-05 10:20:30", "01/05/2024 10:00", "Jan 5, 2024 9:05 PM", "2024/01/05 10:20:30.123", "2024-01-05 10:20:30+02:00", "2024-01-05 25", "10:20"], D.parse_date)
+    assert got == [dt.date(2024, 1, 5)] * 5 + [None, None]
+
+
 def test_strings_and_codes(spark):
     assert one(spark, ["  a   b ", "x y", "﻿bom", "a\r\nb", "   ", None], C.normalize_string) == ["a b", "x y", "bom", "a b", None, None]
     assert one(spark, ["0123", "0", "0.5", "1,000", "abc"], C.typed_value) == [None, 0.0, 0.5, 1000.0, None]

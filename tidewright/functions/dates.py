@@ -28,6 +28,15 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 # ------------------------------------------------------------------------------------------
 
 
+# a time of day after a date of any form
+_TIME = r"\s+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?(\s*[AaPp]\.?[Mm]\.?)?(\s*(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?$"
+
+
+def _without_time(c: Column) -> Column:
+    s = F.trim(c.cast("string"))
+    return F.when(F.contains(s, F.lit(":")), F.regexp_replace(s, _TIME, "")).otherwise(s)
+
+
 def first_weekday(year: Column, month: int, weekday: str) -> Column:
     """First given weekday of a month."""
     return F.next_day(F.date_sub(F.make_date(year, F.lit(month), F.lit(1)), 1), weekday)
@@ -39,8 +48,8 @@ def monday_week(year: Column, week: Column) -> Column:
 
 
 def date_format(c: Column) -> Column:
-    """Name of the first matching text form."""
-    s = F.trim(c)
+    """Name of the first matching text form; a time after a date is left out."""
+    s = _without_time(c)
     out = None
     for name, pat in FORMATS.items():
         out = F.when(s.rlike(pat), name) if out is None else out.when(s.rlike(pat), name)
@@ -74,8 +83,8 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Date of any accepted form; month and day change places when the month is impossible."""
-    raw = F.trim(c.cast("string"))
+    """Date of any accepted form, with or without a time after it; month and day change places when the month is impossible."""
+    raw = _without_time(c)
     # only the rules a text can need are tried
     s = F.when(raw.rlike("[A-Za-z]"), _rewrite(raw, _LETTERS)).when(raw.rlike("/|^[0-9]{1,2}-"), _rewrite(raw, _DIGITS)).otherwise(raw)
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], str(i), *((m, str(i)) if len(m) > 3 else ()))])
