@@ -27,6 +27,12 @@ def test_quantiles_by_rank(spark):
     assert whole == pytest.approx(float(np.median([v for _, v in rows])))
 
 
+def test_equal_values_are_ranked_by_their_ties(spark):
+    df = spark.createDataFrame([(f"s{i:04d}", 500.0) for i in range(3000)], "segment string, mape double").repartition(7)
+    got = {r.segment: r["rank"] for r in WN.rank_segments(df).collect()}
+    assert got == {f"s{i:04d}": i + 1 for i in range(3000)}
+
+
 def test_global_rank(spark):
     rng = random.Random(5)
     rows = [(f"s{i:04d}", float(rng.choice([7, 7, 7, rng.randint(0, 500)]))) for i in range(2000)]

@@ -78,4 +78,4 @@ def join_on_keys(a: DataFrame, b: DataFrame, keys: Keys, how: str = "inner") ->
     """Join per-series rows to panel rows; with no keys the right side is one row."""
     if keys:
         return a.join(b, list(keys), how)
-    return a.crossJoin(F.broadcast(b))
+    return a.crossJoin(b)

@@ -68,8 +68,13 @@ def trim_window(df: DataFrame, keys: Keys, n: int) -> DataFrame:
 
 
 def min_rows(df: DataFrame, keys: Keys, n: int) -> DataFrame:
-    """Series with at least n rows."""
-    return df.withColumn("_n", series_len(keys)).where(F.col("_n") >= n).drop("_n")
+    """Series with at least n rows, counted where they are read."""
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    enough = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(enough, same, "left_semi")
 
 
 def filter_status(df: DataFrame, statuses: Sequence[str], col: str = "status") -> DataFrame:

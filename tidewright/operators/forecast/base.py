@@ -58,7 +58,7 @@ def fan_out(hist: DataFrame, future: DataFrame, keys: Keys, cands: DataFrame, mo
     if keys and set(keys) <= set(cands.columns):
         work = rows.join(cands.select(*keys, "cand"), keys)
     else:
-        work = rows.crossJoin(F.broadcast(cands.select("cand")))  # the grid is a literal of bounded size
+        work = rows.crossJoin(cands.select("cand"))  # broadcast or not by its measured size
     types = dict(work.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["cand string, h int, ds date, yhat double, yhat_lower double, yhat_upper double, error string"])
     z = NormalDist().inv_cdf(0.5 + level / 2)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..base import Keys, by, join_on_keys
 from ..evaluate import metrics
@@ -83,9 +84,9 @@ def level_guard(fc: DataFrame, hist: DataFrame, keys: Keys, h: int, scale_at: fl
 
 def covariate_impact(coefs: DataFrame, df: DataFrame, keys: Keys) -> DataFrame:
     """``coefs`` (keys, covariate, coef) to impact = abs(coef · std), scaled to 100 for the largest, with its sign."""
-    names = [r["covariate"] for r in coefs.select("covariate").distinct().collect()]  # column names of the table
-    per = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(f"_{c}").alias("sd")) for c in names if c in df.columns])
-    sds = df.groupBy(*keys).agg(*[F.stddev_samp(c).alias(f"_{c}") for c in names if c in df.columns]).select(*keys, F.inline(per))
+    names = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in keys]
+    per = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(f"_{c}").alias("sd")) for c in names])
+    sds = df.groupBy(*keys).agg(*[F.stddev_samp(c).alias(f"_{c}") for c in names]).select(*keys, F.inline(per))
     out = coefs.join(sds, [*keys, "covariate"], "left").withColumn("impact", F.abs(F.col("coef") * F.coalesce("sd", F.lit(1.0))))
     top = F.max("impact").over(by(keys))
     return out.select(*keys, "covariate", "coef", "impact", F.when(top > 0, F.least(F.lit(100.0), F.col("impact") / top * 100)).otherwise(0.0).alias("score"),

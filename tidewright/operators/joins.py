@@ -14,13 +14,13 @@ from .base import Keys, YOY_LAG, by, join_on_keys, ordered
 def join_features(df: DataFrame, feats: DataFrame, ds: str, order: Sequence[str] = ()) -> DataFrame:
     """Features by date; the last feature row of a date wins, rows without one get 0, equal names are taken over.
 
-    After the reduction the feature side has one row per calendar date, which bounds its size, so it is
-    broadcast and a hot date on the left needs no shuffle at all.
+    After the reduction the feature side has one row per calendar day, also where the column holds timestamps, which
+    bounds its size, so it is broadcast and a hot date on the left needs no shuffle at all.
     """
     cols = [c for c in feats.columns if c not in (ds, *order)]
     last = F.max_by(F.struct(*cols), F.struct(*order)) if order else F.max(F.struct(*cols))
-    one = feats.groupBy(ds).agg(last.alias("_f"))
-    joined = df.join(F.broadcast(one), ds, "left")
+    one = feats.groupBy(F.col(ds).cast("date").alias("_day")).agg(last.alias("_f"))
+    joined = df.join(F.broadcast(one), F.col(ds).cast("date") == F.col("_day"), "left")
     keep = [c for c in df.columns if c not in cols]
     return joined.select(*keep, *[F.when(F.col("_f").isNull(), F.lit(0)).otherwise(F.col(f"_f.{c}")).alias(c) for c in cols])
 
@@ -149,8 +149,8 @@ def future_spine(df: DataFrame, keys: Keys, h: int, freq: str, start: str | None
 
 
 def cross_candidates(series: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every series with every candidate; the grid is a literal table of at most a few hundred rows."""
-    return series.crossJoin(F.broadcast(grid))
+    """Every series with every candidate; whether the grid is broadcast is left to its measured size."""
+    return series.crossJoin(grid)
 
 
 def filter_key(filters: Column) -> Column:

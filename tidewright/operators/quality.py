@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from .base import Keys, bands, by, codes, join_on_keys, median, ordered, percentile, running
 from .columns import per_column
+from .quantiles import exact_quantiles
 from .windows import flag_incomplete_tail, gap_limit, global_rank
 
 # fixed values -----------------------------------------------------------------------------
@@ -89,15 +90,17 @@ def validate_quality(df: DataFrame, keys: Keys, freq: str, fix: bool = True, ord
 
 def iqr_outliers(df: DataFrame, keys: Keys, k: float = 1.5, min_n: int = 10, y: str = "y") -> DataFrame:
     """Values outside the quartile fences, with side and share of the series."""
-    w = by(keys)
-    rows = df.where(F.col(y).isNotNull()).select(
-        *keys, "ds", y, percentile(F.col(y), 0.25).over(w).alias("_q1"), percentile(F.col(y), 0.75).over(w).alias("_q3"), F.count(F.lit(1)).over(w).alias("_n"))
+    known = df.where(F.col(y).isNotNull()).select(*keys, "ds", y)
+    stats = exact_quantiles(known, keys, y, {"_q1": 0.25, "_q3": 0.75})
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_n)
+    rows = join_on_keys(join_on_keys(known, stats, keys), counts, keys)
     iqr = F.col("_q3") - F.col("_q1")
     lo, hi = F.col("_q1") - k * iqr, F.col("_q3") + k * iqr
     rows = rows.select(*keys, "ds", y, "_n", lo.alias("lower"), hi.alias("upper"))
     side = F.when(F.col(y) < F.col("lower"), "low").when(F.col(y) > F.col("upper"), "high")
-    rows = rows.withColumn("side", side).withColumn("outlier_pct", F.count("side").over(w) / F.col("_n") * 100)
-    return rows.where(F.col("side").isNotNull() & (F.col("_n") >= min_n)).drop("_n")
+    found = rows.withColumn("side", side).where(F.col("side").isNotNull())
+    share = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    return join_on_keys(found, share, keys).withColumn("outlier_pct", F.col("_k") / F.col("_n") * 100).drop("_n", "_k")
 
 
 def _expected(freq: str) -> Column:

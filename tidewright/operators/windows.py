@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .base import Keys, YOY_LAG, by, median, ordered, position, running, series_len
 
 # fixed values -----------------------------------------------------------------------------
@@ -238,25 +239,22 @@ def rank_segments(metrics: DataFrame, segment: str = "segment", mape: str = "map
     return global_rank(valid, -F.col(mape), ties=[segment]).withColumn("quality", segment_quality(F.col(mape)))
 
 
-def global_rank(df: DataFrame, value: Column, lead: Sequence[str] = (), ties: Sequence[str] = (), name: str = "rank",
-                buckets: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, value: Column, lead: Sequence[str] = (), ties: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based position in the order (lead…, value, ties…) without one task seeing all rows.
 
-    Cut points of ``value`` (a fixed number, from a sketch) split the order into ranges; rows are numbered
-    inside their range and the sizes of the earlier ranges are added.  The cut points are fetched as a
-    sort fetches its range bounds, so both uses of them agree.
+    Rows are dealt by ranges of the whole order, so equal values are split by their ties, and sorted within a range;
+    the sizes of the earlier ranges are added.  The numbered rows are written once, so both uses of them agree.
     """
-    work = df.withColumn("_v", value.cast("double"))
-    cuts = work.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    work = work.withColumn("_bucket", F.size(F.filter(bounds, lambda s: s < F.col("_v"))))
-    part = [*lead, "_bucket"]
-    sizes = work.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(W.orderBy(*part).rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select(*part, F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(W.partitionBy(*part).orderBy("_v", *ties))
-    return (work.withColumn("_r", local).join(starts, part)
-            .select(*df.columns, (F.col("_before") + F.col("_r")).alias(name)))
+    order = [*lead, "_v", *ties]
+    work = df.withColumn("_v", value.cast("double")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(work.withColumn("_id", F.monotonically_increasing_id()))
+    # the number holds the range above its 33 lower bits and the place in it below
+    sizes = placed.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (placed.withColumn("_part", F.shiftright("_id", 33)).join(starts, "_part")
+            .select(*df.columns, (F.col("_before") + place).alias(name)))
 
 
 def queue_position(q: DataFrame, priority_rank: Column, time: str = "enqueued_at", job: str = "job_id") -> DataFrame:

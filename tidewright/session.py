@@ -43,7 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: what follows survives a lost executor without
-    running the plan behind them again."""
-    path = os.path.join(shared_folder(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    running the plan behind them again.  The files go when the application ends."""
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), f"step-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
