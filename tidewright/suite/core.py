@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import filters as FL
 from ..operators import setops as S
+from ..operators import quality as Q
 from ..operators import windows as WN
 from .panels import ctes, panel
 from .registry import query
@@ -114,12 +115,12 @@ def _(spark, d):
     return A.resample(panel(spark, d, "daily"), K, "weekly", {"y": "sum", "n": "sum"})
 
 
-@query("agg3_resample_monthly_last", "series:s ds:d y:f2 n:i", f"""
-{ctes('holey')}, o AS (SELECT * FROM holey WHERE load_no = 1)
-SELECT series, last_day(ds) AS ds, arg_max(y, ds) FILTER (y IS NOT NULL) AS y, count(*) AS n FROM o GROUP BY series, last_day(ds) HAVING count(y) > 0""")
+@query("agg3_resample_monthly_last", "series:s load_no:i ds:d y:f2 n:i", f"""
+{ctes('holey')}
+SELECT series, load_no, last_day(ds) AS ds, arg_max(y, ds) FILTER (y IS NOT NULL) AS y, count(*) AS n FROM holey GROUP BY series, load_no, last_day(ds) HAVING count(y) > 0""")
 def _(spark, d):
-    df = panel(spark, d, "holey").where("load_no = 1").withColumn("n", F.lit(1))
-    return A.resample(df, K, "monthly", {"y": "last", "n": "sum"})
+    df = panel(spark, d, "holey").withColumn("n", F.lit(1))
+    return A.resample(df, [*K, "load_no"], "monthly", {"y": "last", "n": "sum"})
 
 
 @query("agg4_rollup_named", "series:s ds:d avg_price:f6", f"""
@@ -252,14 +253,14 @@ def _(spark, d):
     return WN.gaps(panel(spark, d, "slices"), ["region", "segment"], "weekly", "analysis")
 
 
-@query("win7_fill", "series:s ds:d y:f4 z:f4", f"""
-{ctes('holey')}, o AS (SELECT series, ds, y FROM holey WHERE load_no = 1)
-SELECT series, ds, coalesce(last_value(y IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+@query("win7_fill", "series:s load_no:i ds:d y:f4 z:f4", f"""
+{ctes('holey')}
+SELECT series, load_no, ds, coalesce(last_value(y IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
 first_value(y IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS y, coalesce(y, -1) AS z
-FROM o WINDOW w AS (PARTITION BY series ORDER BY ds)""")
+FROM holey WINDOW w AS (PARTITION BY series, load_no ORDER BY ds)""")
 def _(spark, d):
-    df = panel(spark, d, "holey").where("load_no = 1").withColumn("z", F.col("y"))
-    return WN.fill(WN.fill(df, K, ["y"], constant=0.0), K, ["z"], how=(), constant=-1.0)
+    df, keys = panel(spark, d, "holey").withColumn("z", F.col("y")), [*K, "load_no"]
+    return WN.fill(WN.fill(df, keys, ["y"], constant=0.0), keys, ["z"], how=(), constant=-1.0)
 
 
 @query("win8_dedup_dates", "series:s ds:d y:f4 load_no:i", f"""
@@ -339,9 +340,11 @@ def _(spark, d):
 
 
 @query("srt3_first_n", "series:s ds:d y:f2", f"""
-{ctes('daily')} SELECT series, ds, y FROM daily WHERE y > 1000000 QUALIFY row_number() OVER (PARTITION BY series ORDER BY ds) <= 10""")
+{ctes('daily')}, q AS (SELECT series, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM daily GROUP BY series HAVING count(y) >= 10)
+SELECT series, ds, y FROM daily JOIN q USING (series) WHERE y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) QUALIFY row_number() OVER (PARTITION BY series ORDER BY ds) <= 10""")
 def _(spark, d):
-    return S.first_n(panel(spark, d, "daily").where("y > 1000000"), K, 10)
+    """The first outliers of each series."""
+    return S.first_n(Q.iqr_outliers(panel(spark, d, "daily"), K).select("series", "ds", "y"), K, 10)
 
 
 @query("srt6_order_advice", "slice:s target_avg:f6", f"""
@@ -356,18 +359,19 @@ def _(spark, d):
     return S.union_rows(panel(spark, d, "ship"), panel(spark, d, "weekly"))
 
 
-@query("set2_date_overlap", "ds:d", f"""
-{ctes('daily')} SELECT ds FROM daily WHERE series = '1-URGENT' INTERSECT SELECT ds FROM daily WHERE series = '5-LOW'""")
+@query("set2_date_overlap", "series:s ds:d", f"""
+{ctes('daily')} SELECT series, ds FROM daily WHERE ds < DATE '2000-01-01' INTERSECT SELECT series, ds FROM daily WHERE ds >= DATE '1998-07-01'""")
 def _(spark, d):
+    """Dates that a training and a test part of the same series share."""
     df = panel(spark, d, "daily")
-    return S.date_overlap(df.where("series = '1-URGENT'"), df.where("series = '5-LOW'"), [])
+    return S.date_overlap(df.where("ds < DATE'2000-01-01'"), df.where("ds >= DATE'1998-07-01'"), K)
 
 
 @query("set3_date_difference", "series:s ds:d", f"""
-{ctes('daily', 'daily_total')} SELECT DISTINCT a.series, t.ds FROM (SELECT DISTINCT series FROM daily) a CROSS JOIN daily_total t EXCEPT SELECT series, ds FROM daily""")
+{ctes('daily')} SELECT series, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM daily GROUP BY series EXCEPT SELECT series, ds FROM daily""")
 def _(spark, d):
-    df, total = panel(spark, d, "daily"), panel(spark, d, "daily_total")
-    spine = df.select("series").distinct().crossJoin(total.select("ds"))
+    df = panel(spark, d, "daily")
+    spine = df.groupBy("series").agg(F.explode(F.sequence(F.min("ds"), F.max("ds"))).alias("ds"))
     return S.date_difference(spine, df, K)
 
 

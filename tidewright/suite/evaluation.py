@@ -198,22 +198,24 @@ def _(spark, d):
     return I.coverage(pairs(spark, d), KM)
 
 
-CALIB = """cal(series, i, scale, done) AS (SELECT DISTINCT series, 0, CAST(1 AS DOUBLE), false FROM prs WHERE model = 'last'
- UNION ALL SELECT c.series, c.i + 1, CASE WHEN c.done OR abs(s.sh - 0.9) < 0.01 THEN c.scale WHEN s.sh < 0.9 THEN c.scale * 1.1 ELSE c.scale * 0.95 END, c.done OR abs(s.sh - 0.9) < 0.01
- FROM cal c, LATERAL (SELECT count(*) FILTER (CASE WHEN c.i = 0 THEN y BETWEEN yhat_lower AND yhat_upper ELSE abs(y - yhat) <= (yhat_upper - yhat_lower) / 2 * c.scale END) / count(*) AS sh FROM prs WHERE prs.series = c.series AND prs.model = 'last') s WHERE c.i < 10)"""
+CALIB = """cal(series, model, i, scale, done) AS (SELECT DISTINCT series, model, 0, CAST(1 AS DOUBLE), false FROM prs
+ UNION ALL SELECT c.series, c.model, c.i + 1, CASE WHEN c.done OR abs(s.sh - 0.9) < 0.01 THEN c.scale WHEN s.sh < 0.9 THEN c.scale * 1.1 ELSE c.scale * 0.95 END, c.done OR abs(s.sh - 0.9) < 0.01
+ FROM cal c, LATERAL (SELECT count(*) FILTER (CASE WHEN c.i = 0 THEN y BETWEEN yhat_lower AND yhat_upper ELSE abs(y - yhat) <= (yhat_upper - yhat_lower) / 2 * c.scale END) / count(*) AS sh FROM prs WHERE prs.series = c.series AND prs.model = c.model) s WHERE c.i < 10)"""
 
 
-@query("int5_calibrate", "series:s scale:f6", f"""
-{ctes('models').replace('WITH ', 'WITH RECURSIVE ')}, {PAIRS}, {CALIB} SELECT series, scale FROM cal WHERE i = 10""")
+@query("int5_calibrate", "series:s model:s scale:f6", f"""
+{ctes('models').replace('WITH ', 'WITH RECURSIVE ')}, {PAIRS}, {CALIB} SELECT series, model, scale FROM cal WHERE i = 10""")
 def _(spark, d):
-    return I.calibrate(pairs(spark, d).where("model = 'last'"), K)
+    return I.calibrate(pairs(spark, d), [*K, "model"])
 
 
-@query("int6_conformal_fitted", _IV, f"""
-{ctes('models', 'fc').replace('WITH ', 'WITH RECURSIVE ')}, {PAIRS}, {CALIB}, qs AS (SELECT series, count(*) AS n, list(abs(y - yhat) ORDER BY abs(y - yhat)) AS a FROM prs WHERE model = 'last' GROUP BY series), sc AS (SELECT series, scale FROM cal WHERE i = 10)
-SELECT series, h, yhat, greatest(0, yhat - {_aq(_LV)} * scale) AS yhat_lower, greatest(yhat, yhat + {_aq(_LV)} * scale) AS yhat_upper FROM fc JOIN qs USING (series) JOIN sc USING (series)""")
+@query("int6_conformal_fitted", _IV + " model:s", f"""
+{ctes('models', 'fc').replace('WITH ', 'WITH RECURSIVE ')}, {PAIRS}, {CALIB}, qs AS (SELECT series, model, count(*) AS n, list(abs(y - yhat) ORDER BY abs(y - yhat)) AS a FROM prs GROUP BY series, model), sc AS (SELECT series, model, scale FROM cal WHERE i = 10)
+SELECT series, model, h, yhat, greatest(0, yhat - {_aq(_LV)} * scale) AS yhat_lower, greatest(yhat, yhat + {_aq(_LV)} * scale) AS yhat_upper FROM fc JOIN qs USING (series) JOIN sc USING (series, model)""")
 def _(spark, d):
-    return I.ConformalIntervals(K).fit(pairs(spark, d).where("model = 'last'")).transform(panel(spark, d, "fc"))
+    past = pairs(spark, d)
+    ahead = panel(spark, d, "fc").join(past.select(*K, "model").distinct(), K)
+    return I.ConformalIntervals([*K, "model"]).fit(past).transform(ahead)
 
 
 @query("int7_bootstrap_interval", "series:s h:i yhat:f6 lower_50:f4 upper_50:f4 lower_95:f4 upper_95:f4")
