@@ -15,7 +15,7 @@ from .store import written
 
 #: Words a window; words a minimiser looks at. Windows of a text that share their minimiser make one super-k-mer.
 WINDOW, SEED = 35, 8
-#: A minimiser at more places than this deals its windows one by one, so that no task sees all of it.
+#: Strings of a minimiser at more places than this are counted without a bucket, so that no task sees all of it.
 HOT = 512
 _MEMO = 1 << 18
 _PRIME = 0x9E3779B97F4A7C15
@@ -94,7 +94,7 @@ def _seeds(window: int, seed: int):
 
 def _packed(window: int, seed: int):
     """From rows (id, hash, text, minimisers wanted, those of them that are hot): packed strings (bucket, id, hash, start,
-    words), and for hot ones single windows without a bucket, as 128-bit digests of their words."""
+    words); those of hot minimisers have no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, names = _Hasher(), ["bucket", "id", "hash", "start", "words"]
@@ -108,13 +108,10 @@ def _packed(window: int, seed: int):
                 keys = m.view(np.int64)
                 for k in np.flatnonzero(np.isin(keys, np.array(wanted, np.int64))):
                     key, s, c = int(keys[k]), int(first[k]), int(count[k])
-                    if key in hot:
-                        new = [(None, i, x, j, xxhash.xxh3_128_digest(b" ".join(words[j:j + window]))) for j in range(s, s + c)]
-                    else:
-                        new = [(key, i, x, s, b" ".join(words[s:s + c + window - 1]))]
-                    for column, values in zip(out, zip(*new, strict=True), strict=True):
-                        column.extend(values)
-                    size += sum(len(r[4]) for r in new)
+                    packed = b" ".join(words[s:s + c + window - 1])
+                    for column, value in zip(out, (None if key in hot else key, i, x, s, packed), strict=True):
+                        column.append(value)
+                    size += len(packed)
                 if size > 1 << 22:
                     yield _arrow(out, names, types)
                     out, size = [[], [], [], [], []], 0
@@ -163,6 +160,37 @@ def _repeats(window: int):
     return run
 
 
+def _windows(window: int):
+    """Each window of packed strings, as a 128-bit digest of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["id", "hash", "start", "k", "digest"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i, x, start, k, packed in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                words = packed.split(b" ")
+                n = len(words) - window + 1
+                for column, values in zip(out, ([i] * n, [x] * n, range(start, start + n), [k] * n,
+                                                [xxhash.xxh3_128_digest(b" ".join(words[j:j + window])) for j in range(n)]), strict=True):
+                    column.extend(values)
+            yield _arrow(out, names, types)
+
+    return run
+
+
+def _hot_repeats(strings: DataFrame, window: int) -> DataFrame:
+    """Runs of repeated windows in the strings of hot minimisers. Equal strings, as of copied texts, are first counted
+    where they are: all windows of a string that occurs twice are repeated, so its places need no unpacking. Each
+    different string is unpacked once, and its windows are counted by partial sums."""
+    different = written(strings.groupBy("words").agg(F.count("*").alias("k"), F.min("id").alias("id"), F.min("hash").alias("hash"), F.min("start").alias("start")))
+    copied = strings.join(different.where("k > 1").select("words"), "words")
+    copied = copied.select("id", "hash", "start", (F.size(F.split(F.decode("words", "UTF-8"), " ")) - (window - 1)).alias("length"))
+    windows = different.select("id", "hash", "start", "k", "words").mapInArrow(_windows(window), "id long, hash long, start int, k long, digest binary")
+    twice = windows.groupBy("digest").agg(F.sum("k").alias("n")).where("n > 1").select("digest")
+    single = windows.where("k = 1").join(twice, "digest").select("id", "hash", "start", F.lit(1).alias("length"))
+    return copied.unionByName(single)
+
+
 def drop_repeated_passages(df: DataFrame, id: str, text: str, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Columns id, n_words, n_removed and kept (the kept words, joined by one space) of every row.
 
@@ -170,8 +198,8 @@ def drop_repeated_passages(df: DataFrame, id: str, text: str, window: int = WIND
     table, in the same text or another; windows are judged on the texts as given. Consecutive windows of a text with the
     same minimiser travel as one packed string to the bucket of that minimiser, where windows are sorted and counted by
     their words. First only minimisers are counted: one that stands at a single place of the corpus has no repeated
-    windows, and its strings stay where they are. A minimiser at very many places deals its windows one by one, by a
-    digest of their words, and these are counted by partial sums, so no task meets all of it. Ids are long; they may be
+    windows, and its strings stay where they are. Strings of a minimiser at very many places are counted by
+    partial sums, equal strings first and then the windows of different ones, so no task meets all of it. Ids are long; they may be
     null and needn't be distinct, as rows are told apart by id and text; repeated rows repeat each other. Null texts
     have no words. An empty table gives no rows.
     """
@@ -186,9 +214,7 @@ def drop_repeated_passages(df: DataFrame, id: str, text: str, window: int = WIND
                       .mapInArrow(_packed(window, seed), "bucket long, id long, hash long, start int, words binary"))
     cold = (strings.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(_repeats(window), "id long, hash long, start int, length int"))
-    single = strings.where("bucket is null")
-    twice = single.groupBy("words").agg(F.count("*").alias("k")).where("k > 1").select("words")
-    repeats = cold.unionByName(single.join(twice, "words").select(*key, "start", F.lit(1).alias("length")))
+    repeats = cold.unionByName(_hot_repeats(strings.where("bucket is null"), window))
     repeats = repeats.groupBy(*key).agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
