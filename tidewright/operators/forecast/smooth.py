@@ -11,7 +11,7 @@ from ..base import Keys
 from .base import fan_out, grid_table, steps_sigma
 
 # fixed values: forms tried, without trend and season none is left out because it is flat
-FORMS = (("add", "add"), ("add", "mul"), ("add", "none"), ("none", "add"))
+FORMS = (("add", "add"), ("add", "mul"), ("add", "none"), ("none", "add"), ("none", "mul"))
 ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.8), (0.01, 0.1, 0.3), (0.05, 0.2, 0.4)
 
 
