@@ -45,6 +45,14 @@ def _(spark, d):
     return NV.with_dates(NV.seasonal_naive(df, K, 60), df, K, 60, "weekly")
 
 
+@query("fc1_many_series", "series:s h:i ds:d yhat:f5 yhat_lower:f5 yhat_upper:f5", f"""
+{ctes('brands')}, {num('brands')}, {naive_sql(12)}, l AS (SELECT series, max(ds) AS last_ds FROM brands GROUP BY series)
+SELECT sn.*, last_ds + 7 * CAST(h AS INTEGER) AS ds FROM sn JOIN l USING (series)""")
+def _(spark, d):
+    df = panel(spark, d, "brands")
+    return NV.with_dates(NV.seasonal_naive(df, K, 12), df, K, 12, "weekly")
+
+
 MEAN_DRIFT = """md0 AS (SELECT series, any_value(n) AS n, avg(y) FILTER (t >= n - 12) AS m, stddev_pop(y) FILTER (t >= n - 12) AS sd, (max(y) FILTER (t = n - 1) - max(y) FILTER (t = 0)) / any_value(n) AS tr FROM {src} GROUP BY series),
 md AS (SELECT series, h, m + tr * h AS yhat, m + tr * h - 1.96 * sd AS yhat_lower, m + tr * h + 1.96 * sd AS yhat_upper FROM md0, (SELECT unnest(generate_series(1, {h})) AS h))"""
 

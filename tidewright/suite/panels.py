@@ -31,6 +31,11 @@ PANELS: dict[str, str] = {
     "weekly": """
         SELECT region AS series, CAST(date_trunc('week', ds) AS DATE) AS ds, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS y
         FROM {sales} GROUP BY region, CAST(date_trunc('week', ds) AS DATE)""",
+    # many series: brand, return flag and line status by week
+    "brands": """
+        SELECT concat(p_brand, '|', l_returnflag, '|', l_linestatus) AS series, CAST(date_trunc('week', l_shipdate) AS DATE) AS ds,
+               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS y
+        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, l_returnflag, l_linestatus, CAST(date_trunc('week', l_shipdate) AS DATE)""",
     "monthly": """
         SELECT segment AS series, CAST(date_trunc('month', ds) AS DATE) AS ds, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS y
         FROM {sales} GROUP BY segment, CAST(date_trunc('month', ds) AS DATE)""",
