@@ -6,6 +6,7 @@ from ..functions import clean as C
 from ..functions import dates as D
 from ..functions import stats as ST
 from ..operators import normalize as N
+from .calendar import EASTER
 from .panels import ctes, panel, table
 from .registry import query
 
@@ -192,13 +193,9 @@ def _(spark, d):
         F.date_add(F.next_day(F.date_sub(F.trunc(c, "month"), 1), "FRI"), 14).alias("third_friday"), D.week_start(c).alias("week_start"))
 
 
-@query("scl4_easter", "year:i easter:d n_orders:i", """
-WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n_orders FROM orders GROUP BY 1),
-a AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
-g AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
-l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM g),
-m AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS k FROM l)
-SELECT y AS year, make_date(y, k // 31, k % 31 + 1) AS easter, n_orders FROM m""")
+@query("scl4_easter", "year:i easter:d n_orders:i", f"""
+WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n_orders FROM orders GROUP BY 1), {EASTER}
+SELECT y AS year, d AS easter, n_orders FROM y LEFT JOIN ea ON year(d) = y""")
 def _(spark, d):
     years = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n_orders"))
     return years.withColumn("easter", D.easter(F.col("year")))
