@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -63,9 +64,8 @@ LOOK_ALIKE = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "﹫": "@",
 }
-#: Ranges of ten digits (fixed values: first code points), and full-width forms of the printable ASCII characters.
-_DIGIT_ROWS = (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
-_FOLD = str.maketrans(LOOK_ALIKE | {chr(row + d): str(d) for row in _DIGIT_ROWS for d in range(10)}
+#: Digits of any script are digits, full-width forms the printable ASCII characters, wide and narrow spaces spaces.
+_FOLD = str.maketrans(LOOK_ALIKE | {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, 0x20000) if chr(c).isdecimal()}
                       | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | {c: " " for c in "\u00a0\u2009\u202f\u3000"})
 #: Characters that are not drawn (fixed values).
 _HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -94,6 +94,7 @@ _REACH = 512
 _MARKS = re.compile(rf"[\[({{<] ?(?:{_AT}|{_DOT}|@|\.) ?[\])}}>]| @|@ ", re.IGNORECASE)
 _FOREIGN = re.compile("[^\x00-\x7f\u00c0-\u017f]")
 _BARE_DOTS = tuple(f" {d} " for d in _DOT.split("|"))
+_BARE_ATS = tuple(re.compile(rf" {a} [a-z0-9-]+\.[a-z]") for a in _AT.split("|"))
 
 
 
@@ -163,7 +164,9 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
         lo, hi = max(done, at.start() - _REACH), min(len(text), at.end() + _REACH)
         bare = not re.search(r"[\[({<@]", at[0])
         right = _HOST.match(text, at.end(), hi)
-        if not right or bare and not _A_DOT.search(right[0]) or not (left := _LOCAL_BEFORE.search(text, lo, at.start())):
+        if not right or bare and not _A_DOT.search(right[0]) and not _TOP.search(right[0]) or not (left := _LOCAL_BEFORE.search(text, lo, at.start())):
+            continue
+        if bare and not _A_DOT.search(right[0]) and not _NAME.search(left[0]):
             continue
         host = right[0]
         edits += [(left.start() + d.start(), left.start() + d.end(), ".") for d in _A_DOT.finditer(left[0])]
@@ -174,6 +177,9 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_BRACKET_DOT}|\.| (?:{_DOT}) )[A-Za-z0-9-]+)+", re.IGNORECASE)
+# name at host.com, with a plain dot, is an address if the name is no ordinary word: letters with a digit, dot or the like
+_NAME = re.compile(r"(?=.*[A-Za-z]).*(?:[0-9._+%]|[A-Za-z0-9]-)")
+_TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
 _LOCAL_BEFORE = re.compile(rf"[A-Za-z0-9%+_-]+(?:(?:{_BRACKET_DOT}|\.| (?:{_DOT}) )[A-Za-z0-9%+_-]+){{0,3}}\Z", re.IGNORECASE)
 
 
@@ -182,7 +188,7 @@ def _disguised(text: str) -> bool:
     if _MARKS.search(text) or not text.isascii() and _FOREIGN.search(text):
         return True
     low = text.lower()
-    if any(d in low for d in _BARE_DOTS):
+    if any(d in low for d in _BARE_DOTS) or any(p.search(low) for p in _BARE_ATS):
         return True
     return sum(map(SPELLED.__contains__, low.replace(",", " ").replace("-", " ").split())) > 1
 
