@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 #: Trees; bits of the hash string in each; index rows and queries that one task compares at most.
-TREES, BITS, BLOCK = 20, 40, 8192
+TREES, BITS, BLOCK = 20, 40, 16384
 
 
 def wanted_candidates(n: int) -> int:
@@ -201,6 +201,9 @@ def nearest(df: DataFrame, id: str, vector: str, is_query, k: int = 20, trees: i
     full = (dealt.join(level, ["class", "query"], "left").select(*keys, "query", "class", "code", "vector", "level")
             .repartition(*keys).sortWithinPartitions(*keys))
     found = full.mapInArrow(_search(dim, dtype, k + 1), "query_class long, class long, score double").distinct()
+    # classes that can be among the nearest: each has at least one id, and equal scores are kept together
+    nth = F.rank().over(Window.partitionBy("query_class").orderBy(F.desc("score")))
+    found = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
     small = classes.select("class", "ids")
     wide = found.join(small, "class").select("query_class", "score", F.explode("ids").alias("vec_id"))
     by = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "vec_id"))
