@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 #: Trees; bits of the hash string in each; index rows and queries that one task compares at most.
-TREES, BITS, BLOCK = 20, 40, 16384
+TREES, BITS, BLOCK = 20, 40, 32768
 
 
 def wanted_candidates(n: int) -> int:
@@ -128,7 +128,7 @@ def _search(dim: int, dtype: str, most: int):
             out: list[list] = [[], [], []]
             for s, e in sorted(set(zip(start.tolist(), end.tolist(), strict=True))):
                 same = np.flatnonzero((start == s) & (end == e))
-                for part in np.array_split(same, math.ceil(len(same) / 512)) if e > s else []:
+                for part in np.array_split(same, math.ceil(len(same) / 128)) if e > s else []:
                     scores, k = q[part] @ x[s:e].T, min(most, e - s)
                     # ties at the last place: all rows that reach it, then by id
                     cut = np.partition(scores, e - s - k, axis=1)[:, e - s - k]
