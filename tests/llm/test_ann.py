@@ -50,3 +50,14 @@ def test_odd_rows(spark, monkeypatch):
     assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
     assert ann.nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
     assert result(ann.nearest(df.union(df), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=7, candidates=10_000)) == got
+
+
+def test_ties_of_distinct_vectors(spark):
+    """Two hundred different vectors of one product with every query: the smallest ids are kept."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(int(i), [1.0, 0.0, 0.0, 0.0] if i % 20 == 0 else [1.0, *r.integers(-9, 10, 3).astype(float).tolist()]) for i in r.permutation(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = result(ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=7, candidates=10_000))
+    assert got == brute(rows, 7)

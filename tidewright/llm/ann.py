@@ -130,7 +130,7 @@ def _search(dim: int, dtype: str, most: int):
                 same = np.flatnonzero((start == s) & (end == e))
                 for part in np.array_split(same, math.ceil(len(same) / 128)) if e > s else []:
                     scores, k = q[part] @ x[s:e].T, min(most, e - s)
-                    # ties at the last place: all rows that reach it, then by id
+                    # ties at the last place: all rows that reach it, then by class, which is by smallest id
                     cut = np.partition(scores, e - s - k, axis=1)[:, e - s - k]
                     for i, row in enumerate(part):
                         near = np.flatnonzero(scores[i] >= cut[i] - 1e-12 * (abs(cut[i]) + 1))
@@ -177,8 +177,10 @@ def nearest(df: DataFrame, id: str, vector: str, is_query, k: int = 20, trees: i
     first = ids.groupBy("v").agg(F.min("id").alias("class"), F.array_sort(F.collect_set("id")).alias("ids"))
     asked = rows.where("asked").groupBy("v").agg(F.lit(True).alias("asked"))
     classes = first.join(asked, "v", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    # a class's smallest id may belong to two vectors
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()).select("class", "asked", "v", "ids"))
+    # a class's smallest id may belong to two vectors, so classes get numbers, in the order of these ids: of equal scores a
+    # block keeps those of the smallest
+    placed = classes.repartitionByRange("class").sortWithinPartitions("class", "v")
+    classes = written(placed.withColumn("class", F.monotonically_increasing_id()).select("class", "asked", "v", "ids"))
     n = classes.count()
     goal = candidates or wanted_candidates(n)
     root = max(0, min(24, int(math.log2(max(1, n * trees / (8 * goal))))))
