@@ -61,3 +61,16 @@ def test_ties_of_distinct_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = result(ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=7, candidates=10_000))
     assert got == brute(rows, 7)
+
+
+def test_one_very_long_vector(spark):
+    """One vector's length puts all index rows in one block of each tree: queries of other blocks rise to those as well."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    rows = [(i, (x / np.linalg.norm(x) * (1000 if i == 7 else 1)).tolist()) for i, x in enumerate(r.standard_normal((600, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(ann.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=5, trees=3, candidates=18))
+    want = brute(rows, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 5 for q in want]) >= 0.9

@@ -145,6 +145,41 @@ def _search(dim: int, dtype: str, most: int):
     return run
 
 
+def _dealt(hashed: DataFrame) -> DataFrame:
+    """Rows with the part of their block that they belong to: index rows by ``part`` and query rows by ``ask``, each in
+    all parts of the other kind."""
+    parts = hashed.groupBy("tree", "block").agg(F.greatest(F.lit(1), F.ceil(F.sum((~F.col("query")).cast("int")) / BLOCK)).alias("parts"),
+                                                F.greatest(F.lit(1), F.ceil(F.sum(F.col("query").cast("int")) / BLOCK)).alias("asks"))
+    all_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own = lambda c: F.array(F.pmod(F.xxhash64("class"), F.col(c)))
+    return (hashed.join(written(parts), ["tree", "block"])
+            .withColumn("part", F.explode(F.when(F.col("query"), all_of("parts")).otherwise(own("parts"))))
+            .withColumn("ask", F.explode(F.when(F.col("query"), own("asks")).otherwise(all_of("asks")))))
+
+
+def _risen(hashed: DataFrame, level: DataFrame, root: int, goal: int) -> DataFrame:
+    """``hashed`` with levels, where queries without one rise above the root's: to the longest shorter prefix that
+    ``goal`` rows share over the trees, down to none. They go to every block of that prefix that holds index rows; with
+    no prefix all rows are met in each tree, so the first is enough."""
+    index = hashed.where("NOT query")
+    above = (index.groupBy("tree", "block").agg(F.count("*").alias("n"))
+             .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(root - 1))))
+             .withColumn("prefix", F.expr(f"shiftright(block, {root} - level)")))
+    above = written(above)
+    asks = hashed.where("query").join(level, ["class", "query"])
+    low = asks.where("level IS NULL").drop("level")
+    spans = above.groupBy("tree", "level", "prefix").agg(F.sum("n").alias("n"))
+    at = low.select("class", "tree", "block").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(root - 1))))
+    at = at.withColumn("prefix", F.expr(f"shiftright(block, {root} - level)"))
+    met = at.join(spans, ["tree", "level", "prefix"]).groupBy("class", "level").agg(F.sum("n").alias("n"))
+    to = met.groupBy("class").agg(F.coalesce(F.max(F.when(F.col("n") >= goal, F.col("level"))), F.lit(0)).alias("level"))
+    low = low.join(to, "class").where("level > 0 OR tree = 0").withColumn("prefix", F.expr(f"shiftright(block, {root} - level)"))
+    low = low.drop("block").join(above.drop("n"), ["tree", "level", "prefix"])
+    columns = [*hashed.columns, "level"]
+    return (index.withColumn("level", F.lit(None).cast("int")).select(columns)
+            .unionByName(asks.where("level IS NOT NULL").select(columns)).unionByName(low.select(columns)))
+
+
 def nearest(df: DataFrame, id: str, vector: str, is_query, k: int = 20, trees: int = TREES, candidates: int | None = None) -> DataFrame:
     """The ``k`` nearest rows found of each query row: query_id, rank (from 1), vec_id, score (their inner product in
     double precision), nearest first, ties to the smaller id; all there are, if fewer.
@@ -152,7 +187,8 @@ def nearest(df: DataFrame, id: str, vector: str, is_query, k: int = 20, trees: i
     Every tree sorts all vectors by a long string of hash bits (sides of random planes). A query descends in each to the
     longest prefix it shares with others, and rises in all trees at once, a bit at a time, until ``candidates`` rows
     share its prefix, counted over the trees (by default ``wanted_candidates`` of their number); those are compared
-    exactly. The sorted arrays are kept in blocks by a first prefix, where a search ends at last; a block of many rows or
+    exactly. The sorted arrays are kept in blocks by a first prefix; a query whose blocks hold too few rows goes on to all
+    blocks of a shorter one, at last to all there are. A block of many rows or
     queries is dealt into parts, each compared with each, so no task holds more than a bounded number of both.
 
     Equal vectors are one class to the trees, known by its smallest ids, which are all that can be among the nearest.
@@ -182,25 +218,28 @@ def nearest(df: DataFrame, id: str, vector: str, is_query, k: int = 20, trees: i
     placed = classes.repartitionByRange("class").sortWithinPartitions("class", "v")
     classes = written(placed.withColumn("class", F.monotonically_increasing_id()).select("class", "asked", "v", "ids"))
     n = classes.count()
-    goal = candidates or wanted_candidates(n)
+    # rows are counted once per tree, so with fewer a search could meet fewer than k + 1 classes
+    goal = max(candidates or wanted_candidates(n), trees * (k + 1))
     root = max(0, min(24, int(math.log2(max(1, n * trees / (8 * goal))))))
     hashed = written(classes.select("class", "asked", "v").mapInArrow(
         _hashed(dim, dtype, shape["radius"], root, trees), "tree int, block long, query boolean, class long, code long, vector binary"))
-    parts = hashed.groupBy("tree", "block").agg(F.greatest(F.lit(1), F.ceil(F.sum((~F.col("query")).cast("int")) / BLOCK)).alias("parts"),
-                                                F.greatest(F.lit(1), F.ceil(F.sum(F.col("query").cast("int")) / BLOCK)).alias("asks"))
-    all_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    own = lambda c: F.array(F.pmod(F.xxhash64("class"), F.col(c)))
     keys = ["tree", "block", "part", "ask"]
-    dealt = (hashed.join(written(parts), ["tree", "block"])
-             .withColumn("part", F.explode(F.when(F.col("query"), all_of("parts")).otherwise(own("parts"))))
-             .withColumn("ask", F.explode(F.when(F.col("query"), own("asks")).otherwise(all_of("asks")))))
+    dealt = _dealt(hashed)
     narrow = dealt.select(*keys, "query", "class", "code").repartition(*keys).sortWithinPartitions(*keys)
     counts = narrow.mapInArrow(_levels(root), "class long, counts array<long>")
     levels = range(BITS + 1 - root)
     total = counts.groupBy("class").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in levels])
-    level = F.greatest(*[F.when(F.col(f"c{i}") >= goal, i + root).otherwise(root) for i in levels])
+    # no level for a query whose blocks hold too few rows, or none at all
+    level = F.greatest(*[F.when(F.col(f"c{i}") >= goal, i + root) for i in levels], F.lit(None).cast("int"))
+    total = classes.where("asked").select("class").join(total, "class", "left")
     level = written(total.select("class", level.cast("int").alias("level"), F.lit(True).alias("query")))
-    full = (dealt.join(level, ["class", "query"], "left").select(*keys, "query", "class", "code", "vector", "level")
+    if root == 0:
+        dealt = dealt.join(level.fillna(0, ["level"]), ["class", "query"], "left")
+    elif level.where("level IS NULL").head(1):
+        dealt = _dealt(_risen(hashed, level, root, goal))
+    else:
+        dealt = dealt.join(level, ["class", "query"], "left")
+    full = (dealt.select(*keys, "query", "class", "code", "vector", "level")
             .repartition(*keys).sortWithinPartitions(*keys))
     found = full.mapInArrow(_search(dim, dtype, k + 1), "query_class long, class long, score double").distinct()
     # classes that can be among the nearest: each has at least one id, and equal scores are kept together
