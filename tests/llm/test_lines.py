@@ -69,3 +69,20 @@ def test_odd_rows(spark):
     assert lines.drop_repeated(df.limit(0), "doc_id", "text").count() == 0
     twice = lines.drop_repeated(df.where("doc_id = 5").union(df.where("doc_id = 5")), "doc_id", "text").collect()
     assert [x["text"] for x in twice] == [base + "\n\nshort"] * 2
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Thousands of pairs of similarity just above 0.8: none may go without a common band."""
+    r = random.Random(9)
+    missed = n = 0
+    for _ in range(20):
+        pairs = []
+        for _ in range(500):
+            x = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+            pairs += [x, x[:179]]  # 172 of 193 shingles
+            y = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+            pairs += [y, y[:162]]  # 155 of 193 shingles
+        s = lines._sketches(pairs).reshape(len(pairs), lines.BANDS, -1)
+        same = (s[::2] == s[1::2]).all(axis=2).any(axis=1)
+        missed, n = missed + int((~same).sum()), n + len(same)
+    assert n == 20_000 and missed <= 3

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .neardup import connect, mixed
 from .store import WORD, written
 
-#: Characters a shingle; bands of MinHash values. A pair of similarity 0.8 shares a band with probability 0.998,
-#: one of 0.85 with 0.9999; bands of three values would tie together lines that share a common phrase only.
-WIDTH, BANDS, ROWS = 8, 12, 4
+#: Characters a shingle; bands of MinHash values. A pair of similarity 0.8 shares no band with probability 0.00003;
+#: bands of three values would tie together lines that share a common phrase only.
+WIDTH, BANDS, ROWS = 8, 20, 4
+#: Bytes kept of a band's hash. Bands that agree by chance only bring lines together that are then compared exactly.
+KEPT = 5
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PRIME = 0x9E3779B97F4A7C15
 #: Characters hashed at once.
@@ -39,7 +41,7 @@ def shingles(line: str) -> np.ndarray:
 
 
 def _sketches(lines: list[str]) -> np.ndarray:
-    """MinHash signatures of lines (not empty), 16 bits a value, from the hashes of all of them at once."""
+    """Band hashes of lines (not empty), KEPT bytes a band, from MinHash values made of the hashes of all of them at once."""
     joined = "\n".join(lines)
     values = (_hashes(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)) >> np.uint64(32)).astype(np.uint32)
     length = np.array([len(x) for x in lines])
@@ -50,9 +52,13 @@ def _sketches(lines: list[str]) -> np.ndarray:
     for i in np.flatnonzero(length < WIDTH):  # what follows a short line isn't part of it
         values[use[:i].sum()] = np.uint32(int(shingles(lines[i])[0]) >> 32)
     first = np.concatenate([[0], np.cumsum(use)[:-1]])
-    out = np.empty((len(lines), BANDS * ROWS), "<u2")
-    for j, f in enumerate(_FACTORS):
-        out[:, j] = (np.minimum.reduceat(values * f, first) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    out, product = np.empty((len(lines), BANDS * KEPT), np.uint8), np.empty_like(values)
+    for i in range(BANDS):
+        band = np.zeros(len(lines), np.uint64)
+        for f in _FACTORS[ROWS * i:ROWS * (i + 1)]:
+            low = np.minimum.reduceat(np.multiply(values, f, out=product), first)
+            band = mixed(band * np.uint64(_PRIME) + low)
+        out[:, KEPT * i:KEPT * (i + 1)] = band.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
     return out
 
 
@@ -108,7 +114,7 @@ def drop_repeated(df: DataFrame, id: str, text: str, percent: int = 80) -> DataF
     first = F.min(F.struct("id", "hash", "line")).alias("first")
     classes = written(rows.groupBy("fingerprint").agg(first, F.max("n").alias("n"), F.count("*").alias("k"), F.max("sketch").alias("sketch"))
                       .withColumn("class", F.monotonically_increasing_id()))
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", KEPT * i + 1, KEPT)) for i in range(BANDS)])
 
     def texts(groups: DataFrame) -> DataFrame:
         at = groups.join(narrow, F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.hash") == F.col("hash"))).drop("id", "hash")

@@ -227,12 +227,12 @@ def connect(classes: DataFrame, bands: Column, texts: Callable[[DataFrame], Data
     """Columns class, component over the classes that are linked to others at all.
 
     ``classes``: class, n and what ``bands``, an array of buckets, is made of; registers help to compare, if there are
-    any. ``texts`` adds a column text to rows with the columns of ``classes``. Only texts of classes that share a bucket with others are
+    any, and a sketch serves for the bands only. ``texts`` adds a column text to rows with the columns of ``classes``. Only texts of classes that share a bucket with others are
     moved. A group that fits one task is compared there. A larger one, such as the near copies of one text that fill a
     third of all rows, is dealt into blocks by hash, each with the same few pivots of the group; nearly all its members
     then hang together through the pivots, and the rest is compared, in blocks, with every block. No pair that could be
     linked is left out, and no task holds more than a few blocks."""
-    groups = written(coarse(classes, bands).join(classes, "class"))
+    groups = written(coarse(classes, bands).join(classes.drop("sketch"), "class"))
     sizes = written(groups.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
                     .select("group", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("s") / SHINGLES)).alias("blocks")))
     empty = F.lit(None).cast("long")
