@@ -222,3 +222,13 @@ def test_stationarity_tests():
     walk = np.cumsum(noise)
     assert _adf_p(noise) < 0.01 and _kpss_p(noise) == pytest.approx(0.1, abs=0.06)
     assert _adf_p(walk) > 0.05 and _kpss_p(walk) < 0.05
+
+
+def test_series_without_eval_rows_have_a_row(spark, series):
+    df = series(long=list(SINE), one=[5.0])
+    maker = lambda winners: B.registered(SM.theta_model, B.grid_table(spark, [{"period": 52}]) if winners is None else winners)
+    rows = train_models(df, K, "weekly", 8, {"theta": maker})["forecast"].collect()
+    assert {r.series for r in rows} == {"long", "one"}
+    assert [(r.yhat, r.error is not None) for r in rows if r.series == "one"] == [(None, True)]
+    ranked = weekly_naive_ranking(df, K, 8).collect()
+    assert [(r.model, r.is_best) for r in ranked if r.series == "one"] == [(None, False)] and any(r.series == "long" for r in ranked)

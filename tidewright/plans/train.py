@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import Keys, by
@@ -18,7 +18,7 @@ from ..session import cut_lineage
 
 def weekly_naive_ranking(panel: DataFrame, keys: Keys, h: int = 12, freq: str = "weekly") -> DataFrame:
     """Tail removal, split, seasonal naive against mean drift on the holdout, metrics and rank of both. A series too
-    short for a holdout is ranked by its eval rows."""
+    short for a holdout is ranked by its eval rows; one too short for these has one row without a model."""
     rows = split_series(drop_incomplete_tail(panel, keys), keys, h)
     test = F.when(F.max(F.col("split") == "holdout").over(by(keys)), "holdout").otherwise("eval")
     rows = rows.withColumn("_test", F.col("split") == test)
@@ -27,7 +27,18 @@ def weekly_naive_ranking(panel: DataFrame, keys: Keys, h: int = 12, freq: str =
     fc = NV.seasonal_naive(train, keys, h).withColumn("model", F.lit("seasonal_naive")).unionByName(
         NV.mean_drift(train, keys, h).withColumn("model", F.lit("mean_drift")))
     pairs = fc.join(held, [*keys, "h"])
-    return rank_models(metrics(pairs, [*keys, "model"]), keys)
+    return _all_series(rank_models(metrics(pairs, [*keys, "model"]), keys), panel, keys).withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+
+
+def _all_series(out: DataFrame, panel: DataFrame, keys: Keys, **more: Column) -> DataFrame:
+    """``out`` and a row for each series of the panel that has none in it: its keys and ``more``, NULL elsewhere."""
+    keys = list(keys)
+    if not keys:
+        return out
+    every = panel.select(*keys).distinct()
+    on = [F.col(f"_o.{k}").eqNullSafe(F.col(f"_e.{k}")) for k in keys]
+    lost = every.alias("_e").join(out.select(*keys).distinct().alias("_o"), on, "left_anti").select(*keys).withColumns(more)
+    return out.unionByName(lost, allowMissingColumns=True)
 
 
 def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mapping[str, Callable[[DataFrame | None], Forecaster]]) -> dict[str, DataFrame]:
@@ -35,7 +46,8 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
     winners it fits only those.
 
     Scores and ranking are written to the shared folder (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error (by eval error where a series has no holdout), and the
-    ``forecast`` of each series by its best model fitted on all its rows.
+    ``forecast`` of each series by its best model fitted on all its rows; a series without a scored model has one row
+    with ``error`` there.
     """
     keys = list(keys)
     rows = split_series(panel, keys, h)
@@ -74,4 +86,5 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
         mine = best.where(F.col("model") == name)
         part = refit(panel.join(mine.select(*keys), keys, "left_semi"), future.join(mine.select(*keys), keys, "left_semi"), keys, mine, maker).withColumn("model", F.lit(name))
         forecast = part if forecast is None else forecast.unionByName(part)
+    forecast = _all_series(forecast, panel, keys, error=F.lit("no model could be scored: too few rows, or all candidates failed"))
     return {"scores": every, "ranking": ranking, "forecast": forecast}
