@@ -17,11 +17,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Runs between these six characters are encoded by themselves where the tokenizer drops white space.
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_LETTERS = re.compile("[a-z]+").fullmatch
-#: Characters of a run that are normalised at once, and the longest run whose ids are remembered.
+_CHUNK = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: The pattern of the public word-end vocabulary (a fixed value), and the same for printable ASCII and Latin-1 letters,
+#: which no normal form changes, in lower case.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_LATIN_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Tokens read back at once, and the longest run whose ids are remembered.
 PART, SHORT = 1 << 16, 48
-_MEMO = 1 << 18
+_MEMO = 300_000
+
+
+class Memory(dict):
+    """Results by string, worked out when first asked for. Holds twice ``_MEMO`` at most: when as many are new, the old
+    ones go but for those asked for since."""
+
+    def __init__(self, work):
+        self.work, self.old = work, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            out = self.work(key)
+        if len(key) <= SHORT:
+            if len(self) >= _MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
 
 
 def _byte_letters() -> list[str]:
@@ -171,60 +193,45 @@ class WordBpe:
             raise ValueError("only files without decoder or with that of byte letters can be read back")
         code = {x: i for i, x in enumerate(self.letters)}
         self.bytes = {i: bytes(map(code.get, x)) if all(c in code for c in x) else x.encode() for i, x in self.names.items()} if decoder else None
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.runs, self.words = Memory(self._run), Memory(self._word)
+        normal = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        self.latin = self.by_run and normal == ["NFC", "Replace", "Lowercase"] and json.dumps({"Regex": _WORD_PATTERN}) in kinds
+        self.as_letters = str.maketrans(dict(enumerate(self.letters)))
 
     def size(self, token: str) -> int:
         return len(token) - len(self.ending) if self.ending and token.endswith(self.ending) else len(token)
 
     def _word(self, word: str) -> bytes:
         """Ids of what the pattern matches, given in byte letters; a long word goes through in pieces."""
-        if (out := self.words.get(word)) is not None:
-            return out
         of, t = self.vocab, self.machine
         ids = [of[x] for x in t.feed(word)]
         ids += [of[x] for x in t.finish()]
-        out = pack(f"<{len(ids)}I", *ids)
-        if len(word) <= SHORT:
-            if len(self.words) >= _MEMO:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        return pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         normal = self.normal.normalize_str(text) if self.normal else text
-        return b"".join([self._word(w) for w, _ in self.split.pre_tokenize_str(normal)])
+        return b"".join([self.words[w] for w, _ in self.split.pre_tokenize_str(normal)])
 
     def _run(self, run: str) -> bytes:
-        """Letters a-z alone are one word as they are; anything else goes through the library's normaliser and pattern."""
-        return self._word(run) if self.by_run and _LETTERS(run) else self._marked(run)
-
-    def _marked(self, text: str) -> bytes:
-        """A text in which special tokens may stand; they are found before anything is normalised."""
+        """Ids of a text in which special tokens may stand; they are found before anything is normalised."""
+        if self.latin and _LATIN(run) and not self.find.search(run):
+            words = _LATIN_WORDS(run.lower())
+            return b"".join([self.words[w if w.isascii() else w.encode().decode("latin-1").translate(self.as_letters)] for w in words])
         if not self.find:
-            return self._plain(text)
+            return self._plain(run)
         out, at = [], 0
-        for m in self.find.finditer(text):
-            out += [self._plain(text[at:m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()]
+        for m in self.find.finditer(run):
+            out += [self._plain(run[at:m.start()]), pack("<I", self.special[m.group()])]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join([*out, self._plain(run[at:])])
 
     def encode(self, text: str) -> bytes:
         """Packed ids. Where white space is dropped, runs between it are looked up first: most were met before."""
         if not self.by_run:
-            return self._marked(text) if text else b""
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        out = []
-        for m in _CHUNK.finditer(text) if len(text) > PART else _CHUNK.findall(text):
-            run = m if isinstance(m, str) else m.group()
-            if (ids := memo.get(run)) is None:
-                ids = self._run(run)
-                if len(run) <= SHORT:
-                    memo[run] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self._run(text) if text else b""
+        runs = self.runs
+        return b"".join([runs[x] for x in _CHUNK(text)])
 
     def texts(self, ids: bytes) -> Iterator[str]:
         """The decoded text piece by piece. Byte letters become bytes and bytes characters by a state machine that keeps
