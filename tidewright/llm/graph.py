@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import dropped, written
+
+#: Nodes that a task contracts at once.
+NODES = 500_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, that connect what the links of each task connect: every node of a task's links with the smallest
+    that they reach. A task holds a bounded number of nodes at once and begins anew beyond that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def edges() -> pa.RecordBatch:
+            found = [(x, r) for x in list(up) if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                up[max(x, y)] = min(x, y)
+            if len(up) > NODES:
+                yield edges()
+                up.clear()
+        yield edges()
+
+    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Columns node and component (the smallest node reachable) for every node of links (a, b), both long and not null.
 
-    Union-find over the whole cluster by alternating large and small stars: every node hands its larger neighbours, then
+    Tasks contract their own links first. Then union-find over the whole cluster by alternating large and small stars: every node hands its larger neighbours, then
     its smaller ones, to the smallest it knows, until all edges point to the smallest of their component. A node with
     very many links costs a partial minimum and rows of a join that Spark can split, never a gathered list. Each round
-    is a written table; only a count and a checksum come to the driver. Loops and repeated links do no harm; without
+    is a written table that replaces the one before; only a count and a checksum come to the driver. Loops and repeated links do no harm; without
     links there are no rows."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(_contracted(links.where("a <> b")).distinct())
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,8 +62,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.*").where("a <> b").distinct())
-        now = _state(edges)
+        after = written(small.select("e.*").where("a <> b").distinct())
+        dropped(edges)
+        edges, now = after, _state(after)
         if now == before:
             break
         before = now

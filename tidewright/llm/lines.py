@@ -21,8 +21,8 @@ WIDTH, BANDS, ROWS = 8, 20, 4
 KEPT = 5
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PRIME = 0x9E3779B97F4A7C15
-#: Characters hashed at once.
-CHUNK = 1 << 16
+#: Characters hashed at once, and lines a task remembers to have sketched.
+CHUNK, MET = 1 << 16, 200_000
 
 
 def _hashes(points: np.ndarray) -> np.ndarray:
@@ -67,12 +67,20 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     has_word = re.compile(WORD).search
     held: tuple[list, ...] = ([], [], [], [])
+    met: set[bytes] = set()  # lines whose sketch this task has sent; one is enough
 
     def flush() -> pa.RecordBatch:
         ids, hashes, numbers, lines = held
-        sketches = _sketches(lines)
+        prints = [xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines]
+        if len(met) > MET:
+            met.clear()
+        new = [i for i, p in enumerate(prints) if p not in met and not met.add(p)]
+        sketches: list[bytes | None] = [None] * len(lines)
+        if new:
+            for i, s in zip(new, _sketches([lines[i] for i in new]), strict=True):
+                sketches[i] = s.tobytes()
         rows = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array([len(x) for x in lines], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines], pa.binary()), pa.array([s.tobytes() for s in sketches], pa.binary())]
+                pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())]
         for x in held:
             x.clear()
         return pa.RecordBatch.from_arrays(rows, ["id", "hash", "line", "n", "fingerprint", "sketch"])

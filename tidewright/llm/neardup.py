@@ -113,12 +113,12 @@ def buckets() -> Column:
 
 
 def coarse(classes: DataFrame, bands: Column) -> DataFrame:
-    """Columns class, group: classes of equal sets that share a bucket of any band, directly or through others. In each
-    bucket all members are tied to the smallest, which needs a minimum only. Linked classes are in one group but for
-    the chance (a few in a million at the least similarity) that no band agrees."""
+    """Columns class, group: classes of equal sets that share a bucket of any band, directly or through others. Buckets
+    are exchanged once and sorted; every member is tied to the one before it, which takes no memory however large a
+    bucket is. Linked classes are in one group but for the chance that no band agrees (see ``bands_for``)."""
     rows = classes.select("class", F.explode(bands).alias("bucket"))
-    first = rows.groupBy("bucket").agg(F.min("class").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    ties = rows.join(first, "bucket").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    before = F.lag("class").over(Window.partitionBy("bucket").orderBy("class"))
+    ties = rows.select(F.col("class").alias("a"), before.alias("b")).where("b is not null")
     return components(ties).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
 
@@ -137,6 +137,20 @@ class _Forest:
         return i != j
 
 
+def _few(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect a few sets, each pair counted that nothing connects yet."""
+    own, forest, out = [set(s.tolist()) for s in sets], _Forest(len(sets)), []
+    for j in range(1, len(own)):
+        for i in range(j):
+            n, m = len(own[i]), len(own[j])
+            if min(n, m) * 100 >= max(n, m) * percent and forest.root(i) != forest.root(j):
+                shared = len(own[i] & own[j])
+                if shared * 100 >= percent * (n + m - shared):
+                    forest.join(i, j)
+                    out.append((i, j))
+    return out
+
+
 def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int, known: list[int] | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the members of a group as all links of at least ``percent`` would. Pairs whose registers'
     likelihood puts them within six standard deviations of that are looked at if nothing connects them yet; a member's
@@ -144,6 +158,8 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
     components found before; with ``queries`` only pairs with one of those are looked at; without registers all pairs
     of fitting sizes that nothing connects are counted."""
     n = len(sets)
+    if n <= 6 and regs is None and known is None and queries is None:
+        return _few(sets, percent)
     size = np.array([len(s) for s in sets])
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(size)])
