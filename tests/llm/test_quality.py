@@ -47,6 +47,30 @@ def test_limits_follow_the_data(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_each_rule_has_limits_of_its_group(spark):
+    """Two sources that differ in every measure get different limits for every rule, and a document that is usual in one is
+    out by each rule in the other; a group of one document goes by its language."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(5))
+
+    def odd():
+        w = [word() for _ in range(40)]
+        phrase = [word().upper() + word() + "#" for _ in range(9)]
+        return "\n".join([" ".join(w + phrase + [word() * 3] + phrase), "ABCDEFGHI# " * 20, "ABCDEFGHI# " * 20])
+
+    rows = [(i, " ".join(word() for _ in range(60)), "en", "plain") for i in range(200)] + [(300 + i, odd(), "en", "odd") for i in range(200)]
+    rows += [(600, odd(), "en", "plain"), (601, odd(), "en", "single")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    measured = quality.measure(df, "text")
+    limits = {x["source"]: x["limits"] for x in quality.learn(measured, "lang", "source").collect()}
+    for rule in quality.RULES:
+        assert limits["plain"][rule]["upper"] < limits["odd"][rule]["upper"], rule
+    out = {x["doc_id"]: x for x in quality.judge(measured, quality.learn(measured, "lang", "source"), "lang", "source").collect()}
+    assert set(out[600]["broken"]) >= {"symbols", "repeats", "lines", "capitals", "per_distinct"}
+    assert sum(bool(out[i]["broken"]) for i in range(200)) <= 12 and sum(bool(out[300 + i]["broken"]) for i in range(200)) <= 12
+    assert all(abs(limits["single"][x]["upper"] - limits["odd"][x]["upper"]) < 60 for x in quality.RULES)
+
+
 def test_bins_are_a_sketch():
     values = np.random.default_rng(1).lognormal(0, 2, 10_000)
     bins = np.ceil(np.log(values) / np.log(quality.GAMMA))

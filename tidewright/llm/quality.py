@@ -11,24 +11,19 @@ from .store import words, written
 
 #: Relative width of a sketch's bins: a quantile is off by a hundredth at most.
 GAMMA = 1.02
-#: A group of fewer documents takes the limits of its language, and that of all documents if it is as small.
-LEAST_GROUP = 100
-#: How far beyond the quartiles a limit lies, in distances between them.
-REACH = 6
-#: Rules: measure, least bin a limit may fall to when it is an upper one, or None for an upper and a lower limit.
-#: The least values: 0.2 symbols a word, 0.3 of the words in repeated windows, half of the lines, 0.4 upper-case
-#: letters a character; 0.2 of the words distinct (as repeats a distinct word).
-LEAST = {"symbols": 0.2, "repeats": 0.3, "lines": 0.5, "capitals": 0.4, "per_distinct": 5.0, "word_length": None}
+#: Bins from the zero bin to that of 1; what is smaller than the least bin's value goes there.
+ZERO = 600
+#: Rules: share of a group's documents, in thousandths, below (or, of two, between) which their values are taken as usual.
+RULES = {"symbols": (900,), "repeats": (990,), "lines": (990,), "capitals": (900,), "per_distinct": (900,), "word_length": (900, 100)}
+#: How far beyond the usual values a limit lies, in distances from the median, and in bins (a tenth of the value) at least;
+#: the documents that a group's language, and a language's corpus, weigh in its limits.
+REACH, MARGIN, PRIOR = 2, 5, 20
 WINDOW = 8
 
 
 def bin_of(value: Column) -> Column:
-    """Bin of a sketch: values from GAMMA**(k-1), exclusive, to GAMMA**k have bin k; 0 has bin -10000."""
-    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).otherwise(F.lit(-10_000)).cast("int")
-
-
-def least_bin(value: float) -> int:
-    return math.ceil(math.log(value) / math.log(GAMMA))
+    """Bin of a sketch: values from GAMMA**(k-1), exclusive, to GAMMA**k have bin k + ZERO, or 1 if that is less; 0 has bin 0."""
+    return F.when(value > 0, F.greatest(F.ceil(F.log(value) / F.lit(math.log(GAMMA))) + ZERO, F.lit(1))).otherwise(F.lit(0)).cast("int")
 
 
 def measure(df: DataFrame, text: str) -> DataFrame:
@@ -74,63 +69,60 @@ def measure(df: DataFrame, text: str) -> DataFrame:
 def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Sketches as rows (keys, rule, bin, n). Sketches of groups merge by adding n; a sketch has as many rows as bins
     at most, whatever the number of documents."""
-    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bins.{r}").alias("bin")) for r in LEAST]))
+    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bins.{r}").alias("bin")) for r in RULES]))
     return measured.select(*keys, rows.alias("_x")).groupBy(*keys, "_x.rule", "_x.bin").agg(F.count("*").alias("n"))
 
 
 def _limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns keys, n_docs and limits (a map from rule to lower and upper bin) from the quartiles of each sketch."""
+    """Columns keys, rule, n_docs, upper and lower (null for one-sided rules; bins): the quantile of the rule, and as far beyond
+    it as REACH times its distance from the median, but for rules that most documents measure zero in."""
     of = Window.partitionBy(*keys, "rule")
     t = (sketches.withColumn("upto", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("all", F.sum("n").over(of)))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin")))
-    t = t.groupBy(*keys, "rule").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n_docs"))
-    # a sketch's zero bin lies far below the others; distances are taken from the least limit then
-    least = F.create_map(*[x for r, v in LEAST.items() for x in (F.lit(r), F.lit(None if v is None else least_bin(v)).cast("int"))])[F.col("rule")]
-    reach = F.greatest((F.col("q3") - F.col("q1")) * REACH, F.lit(35))
-    upper = F.when(least.isNull(), F.col("q3") + reach).when(F.col("q1") > -10_000, F.greatest(least, F.col("q3") + reach)).otherwise(F.greatest(least, F.col("q3")))
-    lower = F.when(least.isNull(), F.col("q1") - reach)
-    return t.groupBy(*keys).agg(F.max("n_docs").alias("n_docs"), F.map_from_entries(F.collect_list(
-        F.struct("rule", F.struct(lower.alias("lower"), upper.alias("upper"))))).alias("limits"))
+    share = lambda i: F.create_map(*[x for r, v in RULES.items() for x in (F.lit(r), F.lit(v[i] if i < len(v) else None).cast("int"))])[F.col("rule")]
+    at = lambda q: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * q, F.col("bin"))).cast("long")
+    t = t.groupBy(*keys, "rule").agg(at(F.lit(500)).alias("mid"), at(share(0)).alias("high"), at(share(1)).alias("low"), F.max("all").alias("n_docs"))
+    beyond = lambda x: F.greatest(F.abs(F.col(x) - F.col("mid")) * REACH, F.lit(MARGIN))
+    upper = F.when(F.col("mid") > 0, F.col("high") + beyond("high")).otherwise(F.col("high"))
+    return t.select(*keys, "rule", "n_docs", upper.alias("upper"), F.greatest(F.col("low") - beyond("low"), F.col("low") * 0).alias("lower"))
 
 
 def learn(measured: DataFrame, lang: str, source: str) -> DataFrame:
     """Limits per language and source: columns lang, source and limits, one row per pair that occurs (null is a value).
 
     Sketches of all pairs are summed where the documents are read; those of a language and of everything are merged
-    from them. Small pairs take their language's limits, small languages those of everything."""
-    pairs = sketch(measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "bins"), ["lang", "source"])
-    pairs = written(pairs)
+    from them. A pair's limits are drawn towards its language's, and those towards everything's, as if these had PRIOR
+    documents in it, so a small group goes with the larger one and a large group by itself."""
+    pairs = written(sketch(measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "bins"), ["lang", "source"]))
     merged = lambda keys: pairs.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
-    by_lang = _limits(merged(["lang"]), ["lang"]).select(F.col("lang").alias("b_lang"), F.col("n_docs").alias("b_docs"), F.col("limits").alias("b_limits"))
-    of_all = _limits(merged([]).withColumn("one", F.lit(1)), ["one"]).select("one", F.col("limits").alias("a_limits"))
-    both = (_limits(pairs, ["lang", "source"]).join(by_lang, F.col("lang").eqNullSafe(F.col("b_lang")))
-            .withColumn("one", F.lit(1)).join(of_all, "one"))
-    pick = F.when(F.col("n_docs") >= LEAST_GROUP, F.col("limits")).when(F.col("b_docs") >= LEAST_GROUP, F.col("b_limits")).otherwise(F.col("a_limits"))
-    return written(both.select("lang", "source", pick.alias("limits")))
+    named = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
+    of_all, by_lang = named(_limits(merged([]), []), "a_"), named(_limits(merged(["lang"]), ["lang"]), "b_")
+    drawn = lambda n, own, to: F.expr(f"({n} * {own} + {PRIOR} * {to}) div ({n} + {PRIOR})")
+    by_lang = by_lang.join(of_all, F.col("a_rule") == F.col("b_rule"))
+    by_lang = by_lang.select("b_lang", "b_rule", *[drawn("b_n_docs", f"b_{x}", f"a_{x}").alias(f"b_{x}") for x in ("upper", "lower")])
+    both = _limits(pairs, ["lang", "source"]).join(by_lang, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("rule") == F.col("b_rule")))
+    limit = F.struct("rule", F.struct(*[drawn("n_docs", x, f"b_{x}").alias(x) for x in ("lower", "upper")]))
+    return written(both.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(limit)).alias("limits")))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
-    """Adds base_failed (under 20 words, or more than 30 in 100 in repeated windows) and kept, which is false for those
-    and for documents beyond a limit of their language and source. The limits are a table of their own: Spark sends it
-    to the documents where its measured size allows, and joins by key beyond that."""
+    """Adds base_failed (under 20 words, or more than 30 in 100 in repeated windows), broken (the rules by whose limits of its
+    language and source a document is out) and kept, which is true if neither holds. The limits are a table of
+    their own: Spark sends it to the documents where its measured size allows, and joins by key beyond that."""
     t = limits.select(F.struct("*").alias("_limits"))
-    out = F.lit(False)
-    for rule in LEAST:
-        at = F.col("_limits.limits")[rule]
-        out = out | F.coalesce(F.col(f"bins.{rule}") > at["upper"], F.lit(False)) | F.coalesce(F.col(f"bins.{rule}") < at["lower"], F.lit(False))
+    at = lambda rule, x: F.col("_limits.limits")[rule][x]
+    beyond = lambda rule: (F.col(f"bins.{rule}") > at(rule, "upper")) | F.coalesce(F.col(f"bins.{rule}") < at(rule, "lower"), F.lit(False))
+    broken = F.array_compact(F.array(*[F.when(beyond(rule), F.lit(rule)) for rule in RULES]))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return (measured.join(t, F.col(lang).eqNullSafe(F.col("_limits.lang")) & F.col(source).eqNullSafe(F.col("_limits.source")))
-            .withColumn("base_failed", failed).withColumn("kept", ~failed & ~out).drop("_limits"))
+            .withColumn("base_failed", failed).withColumn("broken", broken).withColumn("kept", ~failed & (F.size("broken") == 0)).drop("_limits"))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their own columns: measured once for the limits, and again, where they
-    are read, for the verdict, so that texts are never shuffled. Null and empty texts go; repeated rows share a fate;
-    an empty table stays empty. Input columns of the names added here don't get in the way: they are set aside."""
+    """The documents that the rules keep, with their own columns. They are measured once and written with their measures:
+    limits read the measures only, and the verdict passes the rows on as they lie, so texts are never shuffled. Null and
+    empty texts go; repeated rows share a fate; an empty table stays empty. Input columns of the names added here don't
+    get in the way: they are set aside."""
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    limits = learn(measure(own.drop("_row"), "text"), "lang", "source")
-    # a row number between measures and verdict keeps the optimizer from moving the condition below the measures, where
-    # it would work out the words of a text again for every use of them
-    measured = measure(own, "text").withColumn("_at", F.monotonically_increasing_id())
-    return judge(measured, limits, "lang", "source").where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+    measured = written(measure(own, "text").drop("text"))
+    return judge(measured, learn(measured, "lang", "source"), "lang", "source").where("kept").select("_row.*")

@@ -132,8 +132,8 @@ p AS (SELECT k.*, source_size, target, epochs, floor(target)::BIGINT - epochs *
 SELECT doc_id, source, size, source_size, target, epochs,
   (epochs * size + greatest(0, least(size, rest - (upto - size))))::BIGINT AS taken FROM p"""
 
-_BIN = "CASE WHEN {0} > 0 THEN ceil(ln({0}) / ln(1.02))::INT ELSE -10000 END"
-_LEAST = ", ".join(f"('{r}', {'NULL' if v is None else quality.least_bin(v)}::INT)" for r, v in quality.LEAST.items())
+_BIN = "CASE WHEN {0} > 0 THEN greatest(ceil(ln({0}) / ln(1.02))::INT + 600, 1) ELSE 0 END"
+_SHARES = ", ".join(f"('{r}', {v[0]}, {v[1] if len(v) > 1 else 'NULL'}::INT)" for r, v in quality.RULES.items())
 
 SQL["op5_adaptive_quality"] = r"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -151,20 +151,21 @@ x AS (SELECT *, n_symbols / greatest(n_words, 1) AS a, n_repeat_words / greatest
 y AS (SELECT doc_id, lang, source, unnest([{'rule': 'symbols', 'bin': A}, {'rule': 'repeats', 'bin': B}, {'rule': 'lines', 'bin': C},
   {'rule': 'capitals', 'bin': D}, {'rule': 'per_distinct', 'bin': E}, {'rule': 'word_length', 'bin': F}]) AS z FROM x),
 bins AS (SELECT doc_id, lang, source, z.rule AS rule, z.bin AS bin FROM y),
-least_of(rule, low) AS (VALUES LEASTS),
+share(rule, up, down) AS (VALUES SHARES),
 lv AS (SELECT 0 AS level, lang, source, rule, bin FROM bins UNION ALL SELECT 1, lang, NULL, rule, bin FROM bins UNION ALL SELECT 2, NULL, NULL, rule, bin FROM bins),
-q AS (SELECT level, lang, source, rule, count(*) AS n_docs, list_sort(list(bin)) AS l FROM lv GROUP BY level, lang, source, rule),
-qq AS (SELECT *, l[((n_docs + 3) // 4)::INT] AS q1, l[((3 * n_docs + 3) // 4)::INT] AS q3 FROM q),
-lim AS (SELECT level, lang, source, rule, n_docs,
-  CASE WHEN low IS NULL THEN q3 + greatest((q3 - q1) * 6, 35) WHEN q1 > -10000 THEN greatest(low, q3 + greatest((q3 - q1) * 6, 35)) ELSE greatest(low, q3) END AS upper,
-  CASE WHEN low IS NULL THEN q1 - greatest((q3 - q1) * 6, 35) END AS lower FROM qq JOIN least_of USING (rule)),
-bad AS (SELECT doc_id, bool_or(coalesce(bin > CASE WHEN l0.n_docs >= 100 THEN l0.upper WHEN l1.n_docs >= 100 THEN l1.upper ELSE l2.upper END, false)
-  OR coalesce(bin < CASE WHEN l0.n_docs >= 100 THEN l0.lower WHEN l1.n_docs >= 100 THEN l1.lower ELSE l2.lower END, false)) AS out
-  FROM bins JOIN lim l0 ON l0.level = 0 AND l0.rule = bins.rule AND l0.lang IS NOT DISTINCT FROM bins.lang AND l0.source IS NOT DISTINCT FROM bins.source
-  JOIN lim l1 ON l1.level = 1 AND l1.rule = bins.rule AND l1.lang IS NOT DISTINCT FROM bins.lang JOIN lim l2 ON l2.level = 2 AND l2.rule = bins.rule
-  GROUP BY doc_id)
+q AS (SELECT level, lang, source, rule, count(*) AS n, list_sort(list(bin)) AS l FROM lv GROUP BY level, lang, source, rule),
+qq AS (SELECT level, lang, source, rule, n, l[((n + 1) // 2)::INT] AS mid, l[((up * n + 999) // 1000)::INT] AS high, l[((down * n + 999) // 1000)::INT] AS low
+  FROM q JOIN share USING (rule)),
+own AS (SELECT level, lang, source, rule, n, CASE WHEN mid > 0 THEN high + greatest((high - mid) * 2, 5) ELSE high END AS upper,
+  CASE WHEN low IS NOT NULL THEN greatest(low - greatest((mid - low) * 2, 5), 0) END AS lower FROM qq),
+one AS (SELECT o.lang, o.rule, (o.n * o.upper + 20 * a.upper) // (o.n + 20) AS upper, (o.n * o.lower + 20 * a.lower) // (o.n + 20) AS lower
+  FROM own o JOIN own a ON o.level = 1 AND a.level = 2 AND a.rule = o.rule),
+lim AS (SELECT o.lang, o.source, o.rule, (o.n * o.upper + 20 * l.upper) // (o.n + 20) AS upper, (o.n * o.lower + 20 * l.lower) // (o.n + 20) AS lower
+  FROM own o JOIN one l ON o.level = 0 AND l.rule = o.rule AND l.lang IS NOT DISTINCT FROM o.lang),
+bad AS (SELECT doc_id, bool_or(bin > upper OR coalesce(bin < lower, false)) AS out
+  FROM bins JOIN lim ON lim.rule = bins.rule AND lim.lang IS NOT DISTINCT FROM bins.lang AND lim.source IS NOT DISTINCT FROM bins.source GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT out AS kept FROM x JOIN bad USING (doc_id)""".replace("LEASTS", _LEAST)
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT out AS kept FROM x JOIN bad USING (doc_id)""".replace("SHARES", _SHARES)
 for _at, _name in zip("ABCDEF", ("a", "b", "c1", "d", "e", "f"), strict=True):
     SQL["op5_adaptive_quality"] = SQL["op5_adaptive_quality"].replace(f"'bin': {_at}}}", f"'bin': {_BIN.format(_name)}}}")
 
