@@ -15,12 +15,13 @@ from .graph import components
 from .store import written
 
 #: SetSketch: registers and their spacing (the published settings: base 1.001, rate 20, 16-bit registers).
-BANDS, ROWS = 20, 5
-REGISTERS, BASE, RATE = BANDS * ROWS, 1.001, 20.0
+ROWS, BASE, RATE = 5, 1.001, 20.0
+#: Chance at most that a pair at the least similarity shares no band, and the most registers there are hashes for.
+MISSED, MOST = 1e-5, 1000
 _TOP = (1 << 16) - 1
 _R = np.random.default_rng(20)
-_FACTORS = _R.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _R.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_FACTORS = _R.integers(1, 1 << 63, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _R.integers(0, 1 << 63, MOST, dtype=np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MEMO = 1 << 18
 #: A group that is compared in one task holds at most so many texts, and shingles; larger groups go in blocks.
@@ -55,13 +56,19 @@ class WordShingles:
         return np.unique(out)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers of each set (not empty). Each register sees every element under a hash of its own, as the
+def bands_for(percent: int) -> int:
+    """Bands of ROWS registers so that a pair of just this similarity shares none with a chance of MISSED at most: 20 at 85
+    (missed with 8e-6), 29 at 80 (missed with 1e-5)."""
+    return min(MOST // ROWS, max(1, math.ceil(math.log(MISSED) / math.log1p(-min(0.999999, percent / 100) ** ROWS))))
+
+
+def registers(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """``n`` SetSketch registers of each set (not empty). Each register sees every element under a hash of its own, as the
     exponential variate of its uniform value; the smallest, on a logarithmic scale truncated at both ends, is kept. The
     registers of a union are the larger of each two, so sketches of parts merge."""
     values, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    least = np.empty((len(sets), REGISTERS), np.uint64)
-    for j in range(REGISTERS):
+    least = np.empty((len(sets), n), np.uint64)
+    for j in range(n):
         least[:, j] = np.minimum.reduceat(values * _FACTORS[j] + _OFFSETS[j], starts)
     x = -np.log1p(-np.minimum(least.astype("f8") / 2.0**64, 1 - 2.0**-53)) / RATE
     with np.errstate(divide="ignore"):
@@ -88,7 +95,7 @@ def estimate(above: np.ndarray, below: np.ndarray, equal: np.ndarray, n: np.ndar
     return (lo + hi) / 2
 
 
-def sketched(df: DataFrame, id: str, text: str, shingles: Callable[[], Callable]) -> DataFrame:
+def sketched(df: DataFrame, id: str, text: str, shingles: Callable[[], Callable], bands: int) -> DataFrame:
     """Columns id, n (set size), fingerprint (128 bits of the set; null if empty) and registers of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def sketched(df: DataFrame, id: str, text: str, shingles: Callable[[], Callable]
                 part = b.slice(at, 512)
                 sets = [of(t) for t in part.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                regs = dict(zip(full, registers([sets[i] for i in full]), strict=True)) if full else {}
+                regs = dict(zip(full, registers([sets[i] for i in full], bands * ROWS), strict=True)) if full else {}
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
@@ -107,9 +114,9 @@ def sketched(df: DataFrame, id: str, text: str, shingles: Callable[[], Callable]
     return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, fingerprint binary, registers binary")
 
 
-def buckets() -> Column:
+def buckets(bands: int) -> Column:
     """The bands of the registers as an array of hashes."""
-    return F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    return F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(bands)])
 
 
 def coarse(classes: DataFrame, bands: Column) -> DataFrame:
@@ -171,8 +178,9 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
         seen: dict[int, int] = {}
         for i, c in enumerate(known):
             forest.join(i, seen.setdefault(c, i))
-    spread = math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    least, agree = percent / 100 - 6 * spread, REGISTERS * (percent / 100 - 8 * spread)
+    count = 1 if regs is None else regs.shape[1]
+    spread = math.sqrt(percent / 100 * (1 - percent / 100) / count)
+    least, agree = percent / 100 - 6 * spread, count * (percent / 100 - 8 * spread)
     for i in range(n) if queries is None else queries:
         lo = i + 1 if queries is None else 0
         others = np.arange(lo, n)
@@ -185,7 +193,7 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
         others = others[np.array([forest.root(int(j)) != root for j in others], bool)]
         if regs is not None and len(others):
             equal, above = (regs[others] == regs[i]).sum(axis=1), (regs[i] > regs[others]).sum(axis=1)
-            others = others[estimate(above, REGISTERS - above - equal, equal, np.full(len(others), size[i], "f8"), size[others].astype("f8")) >= least]
+            others = others[estimate(above, count - above - equal, equal, np.full(len(others), size[i], "f8"), size[others].astype("f8")) >= least]
         if not len(others):
             continue
         own = dense[starts[i]:starts[i + 1]]
@@ -224,7 +232,7 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
             sets = [of(r["text"]) for r in group]
             regs = None
             if "registers" in group[0]:
-                regs = np.frombuffer(b"".join(r["registers"] for r in group), "<u2").reshape(len(group), REGISTERS)
+                regs = np.frombuffer(b"".join(r["registers"] for r in group), "<u2").reshape(len(group), -1)
             known = [r["component"] for r in group] if group[0]["component"] is not None else None
             asks = np.flatnonzero([r["asks"] for r in group]) if any(r["asks"] for r in group) else None
             for i, j in linked_within(sets, regs, percent, known, asks):
@@ -291,12 +299,12 @@ def near_duplicates(df: DataFrame, id: str, text: str, width: int = 5, percent:
     and comparisons are of classes, so thousands of copies cost one. Ids are long, distinct and not null (of rows with
     one id, one decides; rows of null ids are linked with nothing). Null texts and texts without words have the empty
     set and are linked with nothing. An empty table gives no rows; other columns aren't read."""
-    how = lambda: WordShingles(width)
-    rows = written(sketched(df, id, text, how))
+    how, bands = lambda: WordShingles(width), bands_for(percent)
+    rows = written(sketched(df, id, text, how, bands))
     classes = written(rows.where("n > 0 and id is not null").groupBy("fingerprint")
                       .agg(F.min("id").alias("class"), F.max("n").alias("n"), F.max("registers").alias("registers")))
     texts = df.select(F.col(id).cast("long").alias("class"), F.col(text).alias("text"))
-    found = written(connect(classes.drop("fingerprint"), buckets(), lambda rows: rows.join(texts, "class"), how, percent))
+    found = written(connect(classes.drop("fingerprint"), buckets(bands), lambda rows: rows.join(texts, "class"), how, percent))
     named = (classes.select("fingerprint", "class").join(found, "class", "left")
              .select("fingerprint", F.coalesce("component", "class").alias("component")))
     return (rows.join(named, "fingerprint", "left")
