@@ -7,24 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, lines, mix, neardup, quality
-from tidewright.llm.store import table, words, written
+from tidewright.llm.store import WORD, table, words, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, as they are."""
+    """Documents that the rules keep, as they are; null and empty texts go."""
     return quality.keep_good(docs, "text", "lang", "source").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated lines; a text of which nothing is left stays as an empty one."""
+    """Documents without their repeated lines. One of which no word is left was told by others in full and goes: such are
+    copies, near copies too, as this stage comes before the comparison of whole documents. Null and empty texts stay."""
     left = lines.drop_repeated(docs.select(COLUMNS), "doc_id", "text")
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five words, similarity 0.8), and all others."""
+    """The document of the smallest id of each group of near duplicates (five words, similarity 0.8), and all others. Null
+    and empty texts are like nothing and stay."""
     return neardup.keep_one(docs, "doc_id", "text").select(COLUMNS)
 
 
