@@ -173,24 +173,18 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
     order = np.argsort(dense, kind="stable")
     owner = np.repeat(np.arange(n), size)[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(dense))])
-    forest, out = _Forest(n), []
-    if known is not None:
-        seen: dict[int, int] = {}
-        for i, c in enumerate(known):
-            forest.join(i, seen.setdefault(c, i))
+    out = []
+    # which component each member is in: read for all others at once, rewritten only where two components join
+    label = np.arange(n) if known is None else np.unique(np.array(known), return_inverse=True)[1]
     count = 1 if regs is None else regs.shape[1]
     spread = math.sqrt(percent / 100 * (1 - percent / 100) / count)
     least, agree = percent / 100 - 6 * spread, count * (percent / 100 - 8 * spread)
     for i in range(n) if queries is None else queries:
         lo = i + 1 if queries is None else 0
         others = np.arange(lo, n)
-        others = others[(np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent) & (others != i)]
-        if not len(others):
-            continue
-        if regs is not None:
+        others = others[(label[others] != label[i]) & (np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent) & (others != i)]
+        if regs is not None and len(others):
             others = others[(regs[others] == regs[i]).sum(axis=1) >= agree]
-        root = forest.root(i)
-        others = others[np.array([forest.root(int(j)) != root for j in others], bool)]
         if regs is not None and len(others):
             equal, above = (regs[others] == regs[i]).sum(axis=1), (regs[i] > regs[others]).sum(axis=1)
             others = others[estimate(above, count - above - equal, equal, np.full(len(others), size[i], "f8"), size[others].astype("f8")) >= least]
@@ -201,7 +195,8 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
         shared = np.bincount(owner[at], minlength=n)[others]
         for j in others[shared * 100 >= percent * (size[i] + size[others] - shared)]:
-            if forest.join(i, int(j)):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 out.append((i, int(j)))
     return out
 
