@@ -25,21 +25,22 @@ _LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _LATIN_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 #: Tokens read back at once, and the longest run whose ids are remembered.
 PART, SHORT = 1 << 16, 48
-_MEMO = 300_000
+#: Runs, and words within runs, of which two such lots at most are remembered.
+RUNS, WORDS = 300_000, 100_000
 
 
 class Memory(dict):
-    """Results by string, worked out when first asked for. Holds twice ``_MEMO`` at most: when as many are new, the old
+    """Results by string, worked out when first asked for. Holds twice ``room`` at most: when as many are new, the old
     ones go but for those asked for since."""
 
-    def __init__(self, work):
-        self.work, self.old = work, {}
+    def __init__(self, work, room: int):
+        self.work, self.room, self.old = work, room, {}
 
     def __missing__(self, key: str) -> bytes:
         if (out := self.old.get(key)) is None:
             out = self.work(key)
         if len(key) <= SHORT:
-            if len(self) >= _MEMO:
+            if len(self) >= self.room:
                 self.old = dict(self)
                 self.clear()
             self[key] = out
@@ -193,7 +194,7 @@ class WordBpe:
             raise ValueError("only files without decoder or with that of byte letters can be read back")
         code = {x: i for i, x in enumerate(self.letters)}
         self.bytes = {i: bytes(map(code.get, x)) if all(c in code for c in x) else x.encode() for i, x in self.names.items()} if decoder else None
-        self.runs, self.words = Memory(self._run), Memory(self._word)
+        self.runs, self.words = Memory(self._run, RUNS), Memory(self._word, WORDS)
         normal = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
         self.latin = self.by_run and normal == ["NFC", "Replace", "Lowercase"] and json.dumps({"Regex": _WORD_PATTERN}) in kinds
         self.as_letters = str.maketrans(dict(enumerate(self.letters)))
@@ -216,8 +217,10 @@ class WordBpe:
     def _run(self, run: str) -> bytes:
         """Ids of a text in which special tokens may stand; they are found before anything is normalised."""
         if self.latin and _LATIN(run) and not self.find.search(run):
-            words = _LATIN_WORDS(run.lower())
-            return b"".join([self.words[w if w.isascii() else w.encode().decode("latin-1").translate(self.as_letters)] for w in words])
+            low = run.lower()
+            if not low.isascii():  # cut as characters, then named by bytes
+                return b"".join([self.words[w.encode().decode("latin-1").translate(self.as_letters)] for w in _LATIN_WORDS(low)])
+            return self.words[low] if low.isalpha() else b"".join([self.words[w] for w in _LATIN_WORDS(low)])
         if not self.find:
             return self._plain(run)
         out, at = [], 0
