@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Keys, ordered
+from .windows import global_rank
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -60,6 +61,14 @@ def order_jobs(jobs: DataFrame, priority_rank: Column) -> DataFrame:
     return jobs.orderBy(state_rank(F.col("status")), priority_rank.asc_nulls_last(), "submitted_at", "job_id")
 
 
+def place_jobs(jobs: DataFrame, priority_rank: Column, name: str = "place") -> DataFrame:
+    """1-based place of each job in that order. Jobs are dealt by ranges of the order, so no task sees all of them; a job
+    without a time comes before those of its state and priority that have one."""
+    lead = jobs.withColumn("_state", state_rank(F.col("status"))).withColumn("_none", priority_rank.isNull()).withColumn("_priority", priority_rank)
+    placed = global_rank(lead, F.unix_micros(F.col("submitted_at").cast("timestamp")), lead=["_state", "_none", "_priority"], ties=["job_id"], name=name)
+    return placed.drop("_state", "_none", "_priority")
+
+
 def recent_runs(jobs: DataFrame, user: str | int | None = None, n: int = 50, status: str | None = None, skip: int = 0) -> DataFrame:
     """Latest n runs of a user, optionally of one status."""
     if user is not None:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as AU
 from ..operators import explain as EX
+from ..operators import windows as WN
+from ..operators.base import join_on_keys
 from ..plans.profile import profile
 from .calendar import HOL
 from .evaluation import TRI, tri
@@ -21,6 +23,14 @@ _CTX = """SELECT series, ds, CASE WHEN day(ds) % 2 = 0 THEN 1 ELSE 0 END AS prom
 ACT2 = f"act2 AS ({_ACT.replace('{act}', 'act')}), ctx AS ({_CTX.replace('{act}', 'act')})"
 
 
+BEST = "best AS (SELECT series, min(holdout_mape) AS mape FROM tri GROUP BY series)"
+
+
+def ranked_best(spark, d):
+    """The error of the best ranked model of each series."""
+    return WN.rank_models(tri(spark, d).withColumnRenamed("holdout_mape", "mape"), K).where("is_best").groupBy(*K).agg(F.max("mape").alias("mape"))
+
+
 def act2(spark, d):
     return spark.sql(_ACT, act=panel(spark, d, "act")).withColumn("y", F.col("y").cast("double"))
 
@@ -128,14 +138,13 @@ def _(spark, d):
 
 
 @query("aud7_performance_report", "series:s n_periods:i success_rate:f6 failure_rate:f6 bias_direction:s worst_periods:a model_mape:f6 quality:s risk:s", f"""
-{ctes('fc', 'act', 'models')}, {ACT2}, {CMP}, {_SUM}, {TRI}, w AS (SELECT series, list(CAST(ds AS VARCHAR) ORDER BY mape DESC, ds)[1:5] AS worst_periods FROM cm GROUP BY series), b AS (SELECT series, holdout_mape / 3 AS model_mape FROM tri WHERE model = 'mean7')
+{ctes('fc', 'act', 'models')}, {ACT2}, {CMP}, {_SUM}, {TRI}, {BEST}, w AS (SELECT series, list(CAST(ds AS VARCHAR) ORDER BY mape DESC, ds)[1:5] AS worst_periods FROM cm GROUP BY series), b AS (SELECT series, mape AS model_mape FROM best)
 SELECT series, n_periods, (n_excellent + n_good + n_acceptable) / n_periods * 100 AS success_rate, (n_review + n_significant_deviation) / n_periods * 100 AS failure_rate, CASE WHEN overall_bias > 0 THEN 'under_forecasting' ELSE 'over_forecasting' END AS bias_direction, worst_periods, model_mape,
 CASE WHEN model_mape <= 5 THEN 'excellent' WHEN model_mape <= 10 THEN 'good' WHEN model_mape <= 15 THEN 'acceptable_with_caution' WHEN model_mape <= 25 THEN 'needs_improvement' ELSE 'critical' END AS quality,
 CASE WHEN model_mape <= 5 THEN 'low' WHEN model_mape <= 10 THEN 'low_medium' WHEN model_mape <= 15 THEN 'medium' WHEN model_mape <= 25 THEN 'high' ELSE 'very_high' END AS risk FROM sm JOIN w USING (series) JOIN b USING (series)""")
 def _(spark, d):
     cmp = AU.audit_periods(panel(spark, d, "fc"), act2(spark, d), K)
-    best = tri(spark, d).where("model = 'mean7'").select("series", (F.col("holdout_mape") / 3).alias("mape"))
-    return AU.performance_report(cmp, best, K)
+    return AU.performance_report(cmp, ranked_best(spark, d), K)
 
 
 # ---- explanation -------------------------------------------------------------------------
@@ -171,29 +180,33 @@ def _(spark, d):
 
 
 def _profile_mape(spark, d):
-    return profile(rows_of_profile(spark, d), K, "monthly").withColumn("mape", F.length("series") / 2.0)
+    best = WN.rank_models(spark.sql(_MONTHS, monthly=panel(spark, d, "monthly")), K).where("is_best").groupBy(*K).agg(F.max("mape").alias("mape"))
+    return join_on_keys(profile(rows_of_profile(spark, d), K, "monthly"), best, K)
 
 
-_PM = "pm AS (SELECT *, len(series) / 2.0 AS mape FROM pf)"
+# errors of two simple models over the last year of each monthly series
+_MONTHS = """SELECT series, model, avg(abs((y - CASE model WHEN 'last' THEN last_y ELSE year_y END) / y) * 100) AS mape
+FROM (SELECT series, y, row_number() OVER (PARTITION BY series ORDER BY ds DESC) AS back, lag(y, 1) OVER (PARTITION BY series ORDER BY ds) AS last_y, lag(y, 12) OVER (PARTITION BY series ORDER BY ds) AS year_y FROM {monthly}) AS m
+CROSS JOIN (SELECT 'last' AS model UNION ALL SELECT 'year') AS n WHERE back <= 12 GROUP BY series, model"""
+_PM = f"mm AS (SELECT series, min(mape) AS mape FROM ({_MONTHS.replace('{monthly}', 'monthly')}) GROUP BY series), pm AS (SELECT pf.*, mape FROM pf JOIN mm USING (series))"
 
 
 @query("exp3_confidence", "series:s accuracy_score:f1 history_score:f1 confidence_score:f1 confidence_level:s", f"""
-{ctes('sales')}, {HOL}, {PROFILE_CTES}, {_PM}, cf AS (SELECT *, CASE WHEN mape <= 1 THEN 100 WHEN mape <= 3 THEN 90 WHEN mape <= 5 THEN 75 WHEN mape <= 10 THEN 50 ELSE 25 END AS accuracy_score, CASE WHEN history_months >= 36 THEN 100 WHEN history_months >= 24 THEN 80 WHEN history_months >= 12 THEN 60 ELSE 30 END AS history_score FROM pm),
+{ctes('sales', 'monthly')}, {HOL}, {PROFILE_CTES}, {_PM}, cf AS (SELECT *, CASE WHEN mape <= 1 THEN 100 WHEN mape <= 3 THEN 90 WHEN mape <= 5 THEN 75 WHEN mape <= 10 THEN 50 ELSE 25 END AS accuracy_score, CASE WHEN history_months >= 36 THEN 100 WHEN history_months >= 24 THEN 80 WHEN history_months >= 12 THEN 60 ELSE 30 END AS history_score FROM pm),
 sf AS (SELECT *, round(accuracy_score * 0.4 + history_score * 0.3 + data_quality_score * 0.2 + round(holiday_coverage, 1) * 0.1, 9) AS sc FROM cf) SELECT *, round(sc, 1) AS confidence_score, CASE WHEN sc >= 80 THEN 'high' WHEN sc >= 60 THEN 'medium' ELSE 'low' END AS confidence_level FROM sf""")
 def _(spark, d):
     return EX.confidence(_profile_mape(spark, d))
 
 
 @query("exp4_forecast_summary", "series:s horizon:i total:f5 trend_pct:f6 direction:s confidence:s", f"""
-{ctes('fc', 'models')}, {TRI}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM fc), s AS (SELECT series, any_value(n) AS horizon, sum(yhat) AS total, avg(yhat) FILTER (i < n // 2) AS a, avg(yhat) FILTER (i >= n // 2) AS b FROM p GROUP BY series),
-t AS (SELECT s.*, (b - a) / a * 100 AS trend_pct, holdout_mape / 4 AS m FROM s JOIN tri USING (series) WHERE model = 'last') SELECT *, CASE WHEN trend_pct > 1 THEN 'increasing' WHEN trend_pct < -1 THEN 'decreasing' ELSE 'stable' END AS direction, CASE WHEN m <= 5 THEN 'high' WHEN m <= 10 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
+{ctes('fc', 'models')}, {TRI}, {BEST}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM fc), s AS (SELECT series, any_value(n) AS horizon, sum(yhat) AS total, avg(yhat) FILTER (i < n // 2) AS a, avg(yhat) FILTER (i >= n // 2) AS b FROM p GROUP BY series),
+t AS (SELECT s.*, (b - a) / a * 100 AS trend_pct, mape AS m FROM s JOIN best USING (series)) SELECT *, CASE WHEN trend_pct > 1 THEN 'increasing' WHEN trend_pct < -1 THEN 'decreasing' ELSE 'stable' END AS direction, CASE WHEN m <= 5 THEN 'high' WHEN m <= 10 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
 def _(spark, d):
-    best = tri(spark, d).where("model = 'last'").select("series", (F.col("holdout_mape") / 4).alias("mape"))
-    return EX.forecast_summary(panel(spark, d, "fc"), best, K)
+    return EX.forecast_summary(panel(spark, d, "fc"), ranked_best(spark, d), K)
 
 
 @query("exp5_caveats", "series:s caveats:a", f"""
-{ctes('sales')}, {HOL}, {PROFILE_CTES}, {_PM} SELECT series, list_filter([CASE WHEN history_months < 24 THEN 'short_history' END, CASE WHEN round(holiday_coverage, 1) < 70 THEN 'holiday_coverage' END, CASE WHEN mape > 4 + 6 THEN 'accuracy' END, 'patterns_continue'], {NOTNULL}) AS caveats FROM pm""")
+{ctes('sales', 'monthly')}, {HOL}, {PROFILE_CTES}, {_PM} SELECT series, list_filter([CASE WHEN history_months < 24 THEN 'short_history' END, CASE WHEN round(holiday_coverage, 1) < 70 THEN 'holiday_coverage' END, CASE WHEN mape > 4 + 6 THEN 'accuracy' END, 'patterns_continue'], {NOTNULL}) AS caveats FROM pm""")
 def _(spark, d):
     return EX.caveats(_profile_mape(spark, d))
 

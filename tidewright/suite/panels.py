@@ -100,7 +100,9 @@ PANELS: dict[str, str] = {
     "queue": """
         SELECT o_orderkey AS job_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'URGENT' WHEN '2-HIGH' THEN 'HIGH' WHEN '5-LOW' THEN 'LOW' ELSE 'NORMAL' END AS priority,
           o_orderdate + INTERVAL 1 SECOND * CAST(o_custkey % 3600 AS INT) AS enqueued_at, o_orderstatus <> 'F' AS is_active
-        FROM {orders} WHERE o_orderkey % 13 <> 5""",
+        FROM {orders}""",
+    # a queue that lacks some of the jobs, as joins must keep these
+    "queue_gaps": "SELECT * FROM {queue} WHERE job_id % 13 <> 5",
     "uploads": """
         SELECT o_orderkey AS upload_id, o_custkey AS user_id, substr(o_orderpriority, 1, 1) || '-' || o_orderstatus AS data_hash,
           o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 AS INT) AS uploaded_at, o_orderkey % 10 = 3 AS is_deleted

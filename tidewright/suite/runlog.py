@@ -34,9 +34,9 @@ def _(spark, d):
 
 
 @query("log3_active_jobs", "job_id:i user_id:i status:s priority:s enqueued_at:t submitted_at:t", f"""
-{ctes('jobs', 'queue')} SELECT jobs.*, priority, enqueued_at FROM jobs LEFT JOIN queue USING (job_id) WHERE status IN ('PENDING', 'QUEUED', 'RUNNING')""")
+{ctes('jobs', 'queue_gaps')} SELECT jobs.*, priority, enqueued_at FROM jobs LEFT JOIN queue_gaps USING (job_id) WHERE status IN ('PENDING', 'QUEUED', 'RUNNING')""")
 def _(spark, d):
-    return R.active_jobs(panel(spark, d, "jobs"), panel(spark, d, "queue"))
+    return R.active_jobs(panel(spark, d, "jobs"), panel(spark, d, "queue_gaps"))
 
 
 @query("log4_model_trend", "job_id:i submitted_at:t mape:f6 rmse:f2 is_best_model:b", f"""
@@ -99,20 +99,16 @@ def _(spark, d):
 
 
 @query("jon14_join_runs", "job_id:i user_id:i status:s model_name:s mape:f6 priority:s", f"""
-{ctes('jobs', 'results', 'queue')} SELECT jobs.job_id, user_id, status, model_name, mape, priority FROM jobs JOIN results USING (job_id) LEFT JOIN queue ON queue.job_id = jobs.job_id""")
+{ctes('jobs', 'results', 'queue_gaps')} SELECT jobs.job_id, user_id, status, model_name, mape, priority FROM jobs JOIN results USING (job_id) LEFT JOIN queue_gaps ON queue_gaps.job_id = jobs.job_id""")
 def _(spark, d):
-    return J.join_runs(J.join_runs(panel(spark, d, "jobs"), panel(spark, d, "results"), "inner"), panel(spark, d, "queue"), "left")
+    return J.join_runs(J.join_runs(panel(spark, d, "jobs"), panel(spark, d, "results"), "inner"), panel(spark, d, "queue_gaps"), "left")
 
 
 @query("srt4_order_jobs", "job_id:i status:s priority:s place:i", f"""
 {ctes('jobs', 'queue')} SELECT job_id, status, priority, row_number() OVER (ORDER BY CASE status WHEN 'RUNNING' THEN 1 WHEN 'QUEUED' THEN 2 ELSE 3 END, {PRIO} NULLS LAST, submitted_at, job_id) AS place FROM jobs JOIN queue USING (job_id)""")
 def _(spark, d):
     jobs = J.join_runs(panel(spark, d, "jobs"), panel(spark, d, "queue"), "inner")
-    top = S.order_jobs(jobs, R.priority_rank(F.col("priority")))
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(S.state_rank(F.col("status")), R.priority_rank(F.col("priority")).asc_nulls_last(), "submitted_at", "job_id")
-    return top.withColumn("place", F.row_number().over(order))
+    return S.place_jobs(jobs, R.priority_rank(F.col("priority")))
 
 
 @query("srt5_recent_runs", "job_id:i user_id:i status:s submitted_at:t", f"""
