@@ -12,6 +12,7 @@ from tidewright.operators.forecast import boosted as BO
 from tidewright.operators.forecast import naive as NV
 from tidewright.operators.forecast import smooth as SM
 from tidewright.operators.forecast import structural as ST
+from tidewright.operators.forecast.ladder import climb
 from tidewright.operators.signals import _adf_p, _kpss_p, forecastability, spectral_entropy
 from tidewright.plans.profile import profile
 from tidewright.plans.train import train_models, weekly_naive_ranking
@@ -173,8 +174,10 @@ def test_short_series_are_not_lost(spark, series):
         return lambda winners: B.registered(model, grid if winners is None else winners)
 
     out = train_models(df, K, "weekly", 8, {"ets": maker(SM.ets_model, SM.ets_grid(spark, 52)), "theta": maker(SM.theta_model, B.grid_table(spark, [{"period": 52}]))})
-    assert {r.series for r in out["forecast"].select("series").distinct().collect()} >= {"long", "short"}
-    assert {r.series for r in weekly_naive_ranking(df, K, 8).collect()} >= {"long", "short"}
+    rows = out["forecast"].collect()
+    assert {s: sum(r.series == s and r.yhat is not None for r in rows) for s in ("long", "short", "one")} == {"long": 8, "short": 8, "one": 0}
+    assert [r.error is not None for r in rows if r.series == "one"] == [True] and len(rows) == 17
+    assert {r.series for r in weekly_naive_ranking(df, K, 8).collect()} == {"long", "short", "one"}
     fc = BO.boosted(df, B.future_frame(df, K, 4, "weekly"), K, "weekly", 4, n_trees=5, depth=3).collect()
     assert sorted({(r.series, r.h) for r in fc}) == [(s, h) for s in ("long", "one", "short") for h in range(1, 5)]
     assert all(r.yhat is not None for r in fc)
@@ -232,3 +235,29 @@ def test_series_without_eval_rows_have_a_row(spark, series):
     assert [(r.yhat, r.error is not None) for r in rows if r.series == "one"] == [(None, True)]
     ranked = weekly_naive_ranking(df, K, 8).collect()
     assert [(r.model, r.is_best) for r in ranked if r.series == "one"] == [(None, False)] and any(r.series == "long" for r in ranked)
+
+
+def test_ladder_refits_only_what_it_doubts(spark, series):
+    """A flat, a runaway, a negative and a failing series each end at a named level; the others are fitted once."""
+    df = series(good=list(SINE), flat=list(SINE), runaway=list(SINE), negative=list(SINE), failing=list(SINE), lost=list(SINE))
+    future, fitted = B.future_frame(df, K, 6, "weekly"), []
+
+    def level(**values):
+        def forecast(hist, ahead, keys):
+            fitted.append({r.series for r in hist.select("series").distinct().collect()})
+            y = F.col("h") * 10 + 90.0
+            for name, how in values.items():
+                y = F.when(F.col("series") == name, {"flat": F.lit(100.0), "big": y * 50, "minus": F.lit(190.0) - F.col("h") * 40, "none": F.lit(None).cast("double")}[how]).otherwise(y)
+            return ahead.select(*keys, "h", "ds", y.alias("yhat"))
+
+        return forecast
+
+    out = climb(df, future, K, [("fine", level(flat="flat", runaway="big", negative="minus", failing="none", lost="none")),
+                                ("plain", level(runaway="big", lost="none")), ("last", level(runaway="big", lost="none"))])
+    assert fitted == [{"good", "flat", "runaway", "negative", "failing", "lost"}, {"flat", "runaway", "negative", "failing", "lost"}, {"runaway", "lost"}]
+    assert {(r.series, r.level_name, r.reason) for r in out["rounds"].where("level = 0").collect()} == {
+        ("good", "fine", None), ("flat", "fine", "flat"), ("runaway", "fine", "mean_level"), ("negative", "fine", "negative"), ("failing", "fine", "failed"), ("lost", "fine", "failed")}
+    rows = out["forecast"].collect()
+    ends = {r.series: r.level_name for r in rows}
+    assert ends == {"good": "fine", "flat": "plain", "negative": "plain", "failing": "plain", "runaway": "last", "lost": None}
+    assert len(rows) == 5 * 6 + 1 and [r.error is not None for r in rows if r.series == "lost"] == [True]

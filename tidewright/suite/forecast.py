@@ -8,6 +8,7 @@ from ..operators.evaluate import cross_validate, metrics
 from ..operators.forecast import arima as AR
 from ..operators.forecast import base as B
 from ..operators.forecast import boosted as BO
+from ..operators.forecast import ladder as LA
 from ..operators.forecast import naive as NV
 from ..operators.forecast import select as SE
 from ..operators.forecast import smooth as SM
@@ -129,6 +130,40 @@ def _(spark, d):
     return SE.level_guard(ladder, panel(spark, d, "hist"), K, 12)
 
 
+def last_times(step):
+    """A forecaster: the last value, grown by ``step`` of itself with each period."""
+    def forecast(hist, future, keys):
+        last = hist.groupBy(*keys).agg(F.max_by("y", "ds").alias("last"))
+        return future.select(*keys, "h", "ds").join(last, keys).select(*keys, "h", "ds", (F.col("last") * (1 + step * F.col("h"))).alias("yhat"))
+
+    return forecast
+
+
+# last value and mean of each slice; the mean of twelve steep steps is 4.25 times the last value
+_LAST = "la AS (SELECT region, segment, arg_max(y, ds) AS last, arg_max(y, ds) * 4.25 / avg(y) AS ratio FROM slices GROUP BY region, segment), lb AS (SELECT *, ratio > 5 OR ratio < 0.2 AS off FROM la)"
+
+
+def ladder(spark, d):
+    rows = panel(spark, d, "slices")
+    keys = ["region", "segment"]
+    return LA.climb(rows, B.future_frame(rows, keys, H, "weekly"), keys, [("steep", last_times(0.5)), ("last", last_times(0.0)), ("season", NV.naive_forecaster)])
+
+
+@query("fc13_climb_rounds", "region:s segment:s level:i level_name:s reason:s", f"""
+{ctes('slices')}, {_LAST} SELECT region, segment, 0 AS level, 'steep' AS level_name, CASE WHEN off THEN 'mean_level' END AS reason FROM lb
+UNION ALL SELECT region, segment, 1, 'last', 'flat' FROM lb WHERE off UNION ALL SELECT region, segment, 2, 'season', NULL FROM lb WHERE off""")
+def _(spark, d):
+    return ladder(spark, d)["rounds"]
+
+
+@query("fc13_climb_forecast", "region:s segment:s h:i level_name:s yhat:f6", f"""
+{ctes('slices')}, {_LAST}, nm AS (SELECT *, row_number() OVER (PARTITION BY region, segment ORDER BY ds) - 1 AS t, count(*) OVER (PARTITION BY region, segment) AS n FROM slices),
+hs AS (SELECT unnest(generate_series(1, {H})) AS h), ss AS (SELECT region, segment, h, y FROM (SELECT *, CASE WHEN n >= 52 THEN 52 WHEN n >= 12 THEN 12 ELSE n END AS s FROM nm) JOIN hs ON t = n - s + (h - 1) % s)
+SELECT region, segment, h, CASE WHEN off THEN 'season' ELSE 'steep' END AS level_name, CASE WHEN off THEN y ELSE last * (1 + 0.5 * h) END AS yhat FROM lb JOIN ss USING (region, segment)""")
+def _(spark, d):
+    return ladder(spark, d)["forecast"]
+
+
 _COEF = """SELECT series, 'disc' AS covariate, regr_slope(y, disc) AS coef FROM {ship} GROUP BY series UNION ALL SELECT series, 'qty', regr_slope(y, qty) FROM {ship} GROUP BY series UNION ALL SELECT series, 'promo', regr_slope(y, promo) FROM {ship} GROUP BY series"""
 
 
