@@ -261,3 +261,17 @@ def test_ladder_refits_only_what_it_doubts(spark, series):
     ends = {r.series: r.level_name for r in rows}
     assert ends == {"good": "fine", "flat": "plain", "negative": "plain", "failing": "plain", "runaway": "last", "lost": None}
     assert len(rows) == 5 * 6 + 1 and [r.error is not None for r in rows if r.series == "lost"] == [True]
+
+
+def test_failures_are_counted(spark, series):
+    """A candidate that fails on one series leaves a row with its error; the series goes on with the others."""
+    def model(y, ds, params, h, x=None, xf=None):
+        if params["k"] == 2 and y[0] > 700:
+            raise ValueError("too large")
+        return SM.theta_model(y, ds, {"period": 52}, h)
+
+    df = series(small=list(SINE), large=[v + 1000 for v in SINE])
+    grid = B.grid_table(spark, {"k": [1, 2]})
+    out = train_models(df, K, "weekly", 8, {"own": lambda winners: B.registered(model, grid if winners is None else winners)})
+    assert [(r.series, r.model, r.cand, r.stage, r.n_failed, "too large" in r.error) for r in out["failures"].collect()] == [("large", "own", '{"k": 2}', "eval", 1, True)]
+    assert {r.series for r in out["forecast"].where("yhat is not null").collect()} == {"small", "large"}

@@ -33,21 +33,30 @@ def weekly_naive_ranking(panel: DataFrame, keys: Keys, h: int = 12, freq: str =
 def _all_series(out: DataFrame, panel: DataFrame, keys: Keys, **more: Column) -> DataFrame:
     """``out`` and a row for each series of the panel that has none in it: its keys and ``more``, NULL elsewhere."""
     keys = list(keys)
-    if not keys:
-        return out
+    if not keys:  # one series: a row of it only if it has none
+        lost = out.sparkSession.range(1).select(F.lit(1).alias("_all")).join(out.limit(1).select(F.lit(1).alias("_all")), "_all", "left_anti")
+        return out.unionByName(lost.withColumns(more).drop("_all"), allowMissingColumns=True)
     every = panel.select(*keys).distinct()
     on = [F.col(f"_o.{k}").eqNullSafe(F.col(f"_e.{k}")) for k in keys]
     lost = every.alias("_e").join(out.select(*keys).distinct().alias("_o"), on, "left_anti").select(*keys).withColumns(more)
     return out.unionByName(lost, allowMissingColumns=True)
 
 
+def _failed(fc: DataFrame, keys: Keys, model: str, stage: str) -> DataFrame:
+    """Rows without a forecast by series and candidate, with the first error in their order."""
+    error = F.col("error") if "error" in fc.columns else F.lit(None).cast("string")
+    lost = fc.where(F.col("yhat").isNull()).groupBy(*keys, "cand").agg(F.count(F.lit(1)).alias("n_failed"), F.min(error).alias("error"))
+    return lost.select(*keys, F.lit(model).alias("model"), "cand", F.lit(stage).alias("stage"), "n_failed", "error")
+
+
 def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mapping[str, Callable[[DataFrame | None], Forecaster]]) -> dict[str, DataFrame]:
     """``models`` maps a name to a maker of forecasters: called with None it searches its own grid, called with
     winners it fits only those.
 
     Scores and ranking are written to the shared folder (small tables), so every fit runs once.  Result: ``scores`` of every candidate on the eval rows, ``ranking`` of the models by holdout error (by eval error where a series has no holdout), and the
     ``forecast`` of each series by its best model fitted on all its rows; a series without a scored model has one row
-    with ``error`` there.
+    with ``error`` there. ``failures`` counts, by series, model, candidate and stage (eval or holdout), the rows without a
+    forecast, with the first error.
     """
     keys = list(keys)
     rows = split_series(panel, keys, h)
@@ -60,20 +69,26 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
     held, final = numbered_rows("eval"), numbered_rows("holdout")
     upto_eval = rows.where("split <> 'holdout'").drop("split")
     tested = final.select(*keys).distinct() if keys else None
-    scores, winners, holdout = [], {}, []
+    scores, winners, holdout, failures = [], {}, [], []
     for name, maker in models.items():
-        fc = maker(None)(train, held.drop("y"), keys).where(F.col("yhat").isNotNull())
+        tried = cut_lineage(maker(None)(train, held.drop("y"), keys))
+        failures.append(_failed(tried, keys, name, "eval"))
+        fc = tried.where(F.col("yhat").isNotNull())
         s = metrics(fc.join(held.select(*keys, "ds", "y"), [*keys, "ds"]), [*keys, "cand"]).withColumn("model", F.lit(name))
         s = cut_lineage(s)  # a row per series and candidate: the fits behind it must not run again
         scores.append(s)
         winners[name] = select_candidate(s, keys)
-        test = refit(upto_eval, final.drop("y"), keys, winners[name], maker).where(F.col("yhat").isNotNull())
+        again = cut_lineage(refit(upto_eval, final.drop("y"), keys, winners[name], maker))
+        failures.append(_failed(again, keys, name, "holdout"))
+        test = again.where(F.col("yhat").isNotNull())
         m = metrics(test.join(final.select(*keys, "ds", "y"), [*keys, "ds"]), [*keys, "cand"]).withColumn("model", F.lit(name))
         # a series too short for a holdout goes on with its eval rows
         chosen = s.join(winners[name].select(*keys, "cand"), [*keys, "cand"])
         chosen = chosen.join(tested, keys, "left_anti") if keys else chosen.where(F.lit(not final.head(1)))
         holdout.append(m.unionByName(chosen.select(*m.columns)))
-    every, held_out = scores[0], holdout[0]
+    every, held_out, failed = scores[0], holdout[0], failures[0]
+    for f in failures[1:]:
+        failed = failed.unionByName(f)
     for s in scores[1:]:
         every = every.unionByName(s)
     for m in holdout[1:]:
@@ -87,4 +102,4 @@ def train_models(panel: DataFrame, keys: Keys, freq: str, h: int, models: Mappin
         part = refit(panel.join(mine.select(*keys), keys, "left_semi"), future.join(mine.select(*keys), keys, "left_semi"), keys, mine, maker).withColumn("model", F.lit(name))
         forecast = part if forecast is None else forecast.unionByName(part)
     forecast = _all_series(forecast, panel, keys, error=F.lit("no model could be scored: too few rows, or all candidates failed"))
-    return {"scores": every, "ranking": ranking, "forecast": forecast}
+    return {"scores": every, "ranking": ranking, "forecast": forecast, "failures": failed}
