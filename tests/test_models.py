@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.evaluate import cross_validate, metrics
 from tidewright.operators.forecast import arima as AR
+from tidewright.operators.forecast import auto as AU
 from tidewright.operators.forecast import base as B
 from tidewright.operators.forecast import boosted as BO
 from tidewright.operators.forecast import naive as NV
 from tidewright.operators.forecast import smooth as SM
 from tidewright.operators.forecast import structural as ST
+from tidewright.operators.forecast.frontier import best_points, frontier_search, search_report
 from tidewright.operators.forecast.ladder import climb
 from tidewright.operators.signals import _adf_p, _kpss_p, forecastability, spectral_entropy
 from tidewright.plans.profile import profile
@@ -275,3 +277,110 @@ def test_failures_are_counted(spark, series):
     out = train_models(df, K, "weekly", 8, {"own": lambda winners: B.registered(model, grid if winners is None else winners)})
     assert [(r.series, r.model, r.cand, r.stage, r.n_failed, "too large" in r.error) for r in out["failures"].collect()] == [("large", "own", '{"k": 2}', "eval", 1, True)]
     assert {r.series for r in out["forecast"].where("yhat is not null").collect()} == {"small", "large"}
+
+
+def walk(y, family, start, period):
+    """The same search for one series, with a dictionary: what is tried, and the best point."""
+    def crit(p):
+        try:
+            v = AU.CRITERIA[family](y, p, period)
+        except ValueError:
+            return np.inf
+        return v if np.isfinite(v) else np.inf
+
+    low, high = AU.BOUNDS[family]
+    moves = [tuple(s * v for v in m) for m in AU.MOVES[family] for s in (1, -1)]
+    seen = {p: crit(p) for p in start}
+    best = min(seen, key=lambda p: (seen[p], p))
+    while True:
+        if not np.isfinite(seen[best]):
+            return seen, best
+        near = {tuple(a + b for a, b in zip(best, m)) for m in moves}
+        fresh = {p: crit(p) for p in near - set(seen) if all(a <= b <= c for a, b, c in zip(low, p, high))}
+        seen |= fresh
+        better = [p for p in fresh if fresh[p] < seen[best]]
+        if not better:
+            return seen, best
+        best = min(better, key=lambda p: (fresh[p], p))
+
+
+def test_automatic_set_against_walks_and_grids(spark, series):
+    """Ten series: the same points as walks one by one, and the best of the whole grid nearly always."""
+    rng, t = np.random.RandomState(3), np.arange(96)
+    noise = lambda s: rng.normal(0, s, 96)
+    ar = np.zeros(96)
+    for i in range(1, 96):
+        ar[i] = 0.8 * ar[i - 1] + rng.normal(0, 2)
+    ring = np.sin(2 * np.pi * t / 12)
+    values = {"noise": 50 + noise(3), "line": 50 + 2 * t + noise(2), "ar": 60 + ar, "walk": 200 + np.cumsum(noise(2)), "season": 100 + 20 * ring + noise(2),
+              "growing": (100 + 2 * t) * (1 + 0.3 * ring) + noise(2), "square": 10 + 0.1 * t**2 + noise(1), "minus": -20 + noise(4), "short": (30 + noise(3))[:30], "tiny": (30 + noise(3))[:6]}
+    df = series(**{k: list(v) for k, v in values.items()})
+    tried = AU.auto_search(df, K, 12)
+    keys = [*K, "family"]
+    got, rows = {}, tried.collect()
+    for r in rows:
+        got.setdefault((r.series, r.family), {})[tuple(r.point)] = r.crit if r.crit is not None else np.inf
+        assert (r.crit is None) == (r.error is not None)
+    assert len(rows) == sum(map(len, got.values()))  # no point twice
+    best = {(r.series, r.family): tuple(r.point) for r in best_points(tried, keys).collect()}
+    hits = 0
+    for name, y in values.items():
+        y = np.array([float(v) for v in y])
+        spreads = [np.std(np.diff(y, d)) for d in range(3)]
+        d = int(np.argmin(spreads))
+        for family in AU.FAMILIES:
+            start = [((d,) if family == "arima" else ()) + p for p in AU.STARTS[family]]
+            seen, end = walk(y, family, start, 12)
+            assert got[name, family] == pytest.approx(seen)
+            if np.isfinite(seen[end]):
+                assert best[name, family] == end
+                low, high = AU.BOUNDS[family]
+                grid = [p for p in np.ndindex(*[b + 1 for b in high]) if family != "arima" or p[0] == d]
+                hits += seen[end] <= min(v for v in (walk_crit(y, family, p) for p in grid)) + 1e-9
+            else:
+                assert (name, family) not in best
+    assert ("tiny", "arima") not in best and ("tiny", "theta") in best
+    assert hits >= 0.75 * len(best)
+    report = {(r.series, r.family): r for r in search_report(tried, keys, AU.move_table(spark)).collect()}
+    assert len(report) == 30 and all(r.is_settled for r in report.values())
+    assert all(r.is_monotone for k, r in report.items() if k in best)
+    assert best["line", "ets"][0] > 0 and best["season", "theta"][1] > 0 and best["growing", "ets"][1] > 0
+
+
+def walk_crit(y, family, p):
+    try:
+        return AU.CRITERIA[family](y, p, 12)
+    except ValueError:
+        return np.inf
+
+
+def test_automatic_set_in_training(spark, series):
+    """Each series gets the family of least error; one of too few rows has a row with its error."""
+    df = series(line=list(LINE), season=list(SINE), one=[5.0])
+    out = train_models(df, K, "weekly", 8, {"auto": AU.auto_set(52)})
+    rows = out["forecast"].collect()
+    assert {s: sum(r.series == s and r.yhat is not None for r in rows) for s in ("line", "season", "one")} == {"line": 8, "season": 8, "one": 0}
+    got = sorted((r.h, r.yhat) for r in rows if r.series == "line")
+    assert [v for _, v in got] == pytest.approx([LINE[-1] + 2 * h for h, _ in got], rel=0.02)
+    got = sorted((r.h, r.yhat) for r in rows if r.series == "season")
+    assert [v for _, v in got] == pytest.approx([100 + 30 * np.sin(2 * np.pi * (155 + h) / 52) for h, _ in got], rel=0.1)
+    assert {r.cand.count("family") for r in out["scores"].collect()} == {1}
+
+
+def test_frontier_edges(spark):
+    """No rows; a series that can't be scored; points at their bounds; equal criteria don't move it."""
+    steps = spark.createDataFrame([([1], [0], [3]), ([-1], [0], [3])], "step array<int>, low array<int>, high array<int>")
+    score = lambda p: p.select("series", "point", F.when(F.col("series") != "bad", F.when(F.col("series") == "even", 1.0).otherwise(-F.col("point")[0].cast("double"))).alias("crit"), F.lit(None).cast("string").alias("error"))
+    starts = spark.createDataFrame([("up", [1]), ("up", [1]), ("even", [2]), ("bad", [0])], "series string, point array<int>")
+    tried = frontier_search(starts, K, steps, score)
+    assert {(r.series, r.point[0], r.round) for r in tried.collect()} == {("up", 1, 0), ("up", 0, 1), ("up", 2, 1), ("up", 3, 2), ("even", 2, 0), ("even", 1, 1), ("even", 3, 1), ("bad", 0, 0)}
+    assert {r.series: r.point[0] for r in best_points(tried, K).collect()} == {"up": 3, "even": 2}
+    assert frontier_search(starts.where("false"), K, steps, score).count() == 0
+
+
+def test_damped_trend_levels_off():
+    up, _ = SM.ets_model(LINE, dates(200), {"trend": "add", "season": "none", "period": 1}, 60)
+    damped, _ = SM.ets_model(LINE, dates(200), {"trend": "damped", "season": "none", "period": 1}, 60)
+    assert up[-1] == pytest.approx(LINE[-1] + 120, rel=0.02)
+    steps = np.diff(damped)
+    assert np.all(steps[1:] < steps[:-1]) and steps[-1] < 0.02

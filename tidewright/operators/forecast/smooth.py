@@ -13,6 +13,13 @@ from .base import fan_out, grid_table, steps_sigma
 # fixed values: forms tried, without trend and season none is left out because it is flat
 FORMS = (("add", "add"), ("add", "mul"), ("add", "none"), ("none", "add"), ("none", "mul"))
 ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.8), (0.01, 0.1, 0.3), (0.05, 0.2, 0.4)
+DAMPING = 0.9  # of what is left of a damped trend, a period
+
+
+def smoothing_sets(trend: str, season: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameter sets of a form; what it lacks is not smoothed."""
+    sets = np.array(list(product(ALPHAS, BETAS if trend != "none" else (0.0,), GAMMAS if season != "none" else (0.0,))))
+    return sets[:, 0], sets[:, 1], sets[:, 2]
 
 
 def _smooth(y: np.ndarray, m: int, trend: str, season: str, a: np.ndarray, b: np.ndarray, g: np.ndarray):
@@ -20,20 +27,21 @@ def _smooth(y: np.ndarray, m: int, trend: str, season: str, a: np.ndarray, b: np
     k, n = len(a), len(y)
     level = np.full(k, y[:m].mean() if season != "none" else y[0])
     slope = np.zeros(k)
-    if trend == "add" and n > 1:
+    damp = DAMPING if trend == "damped" else 1.0
+    if trend != "none" and n > 1:
         slope += (y[m:2 * m].mean() - y[:m].mean()) / m if season != "none" and n >= 2 * m else (y[min(n, 10) - 1] - y[0]) / max(min(n, 10) - 1, 1)
     base = y[:m] - level[0] if season == "add" else y[:m] / level[0] if season == "mul" else np.zeros(m)
     s = np.tile(base, (k, 1))
     sse = np.zeros(k)
     for t in range(n):
         i = t % m
-        core = level + slope
+        core = level + damp * slope
         fit = core + s[:, i] if season == "add" else core * s[:, i] if season == "mul" else core
         sse += (y[t] - fit) ** 2
         seen = y[t] - s[:, i] if season == "add" else y[t] / np.where(s[:, i] == 0, 1e-9, s[:, i]) if season == "mul" else y[t]
         new = a * seen + (1 - a) * core
-        if trend == "add":
-            slope = b * (new - level) + (1 - b) * slope
+        if trend != "none":
+            slope = b * (new - level) + (1 - b) * damp * slope
         if season == "add":
             s[:, i] = g * (y[t] - new) + (1 - g) * s[:, i]
         elif season == "mul":
@@ -52,15 +60,14 @@ def ets_model(y, ds, params, h, x=None, xf=None):
         raise ValueError("multiplicative season needs positive values")
     if season == "none":
         m = 1
-    sets = np.array(list(product(ALPHAS, BETAS if trend == "add" else (0.0,), GAMMAS if season != "none" else (0.0,))))
-    level, slope, s, sse = _smooth(y, m, trend, season, sets[:, 0], sets[:, 1], sets[:, 2])
+    a, b, g = smoothing_sets(trend, season)
+    level, slope, s, sse = _smooth(y, m, trend, season, a, b, g)
     j = int(np.nanargmin(np.where(np.isfinite(sse), sse, np.inf)))
     steps = np.arange(1, h + 1)
-    core = level[j] + slope[j] * steps
+    core = level[j] + slope[j] * (np.cumsum(DAMPING**steps) if trend == "damped" else steps)
     ring = s[j][(n + steps - 1) % m]
     yhat = core + ring if season == "add" else core * ring if season == "mul" else core
-    alpha = sets[j, 0]
-    sigma = np.sqrt(sse[j] / n) * np.sqrt(1 + alpha**2 * (steps - 1))
+    sigma = np.sqrt(sse[j] / n) * np.sqrt(1 + a[j] ** 2 * (steps - 1))
     return yhat, sigma
 
 

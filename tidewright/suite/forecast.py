@@ -6,8 +6,10 @@ from ..operators import calendar as C
 from ..operators import joins as J
 from ..operators.evaluate import cross_validate, metrics
 from ..operators.forecast import arima as AR
+from ..operators.forecast import auto as AU
 from ..operators.forecast import base as B
 from ..operators.forecast import boosted as BO
+from ..operators.forecast import frontier as FR
 from ..operators.forecast import ladder as LA
 from ..operators.forecast import naive as NV
 from ..operators.forecast import select as SE
@@ -220,6 +222,58 @@ def _(spark, d):
     return SM.theta(df, B.future_frame(df, K, H, "weekly"), K, 52)
 
 
+# trailing means of 1 to 26 values; the walk tries one and four more or fewer, from 8 on
+_MEANS = (1, 26, 8)
+_STEPS = (1, -1, 4, -4)
+
+
+@query("fc8_frontier_means", "series:s width:i crit:f6 n_tried:i is_monotone:b is_settled:b", f"""
+WITH RECURSIVE {ctes('weekly').removeprefix('WITH ')}, {num()}, ks AS (SELECT unnest(generate_series({_MEANS[0]}, {_MEANS[1]})) AS k),
+er AS (SELECT a.series, k, a.t, any_value(a.y) - avg(b.y) AS e FROM nm a JOIN ks ON true JOIN nm b ON b.series = a.series AND b.t BETWEEN a.t - k AND a.t - 1 WHERE a.t >= {_MEANS[1]} GROUP BY a.series, k, a.t),
+cr AS (SELECT series, k, count(*) * ln(avg(e * e)) AS crit FROM er GROUP BY series, k),
+mv AS (SELECT unnest({list(_STEPS)}) AS s), nx AS (SELECT a.series, a.k, arg_min(b.k, b.crit) AS k2, min(b.crit) AS c2, any_value(a.crit) AS c1 FROM cr a JOIN mv ON true JOIN cr b ON b.series = a.series AND b.k = a.k + s GROUP BY a.series, a.k),
+wk(series, k) AS (SELECT DISTINCT series, {_MEANS[2]} FROM cr UNION ALL SELECT wk.series, nx.k2 FROM wk JOIN nx ON nx.series = wk.series AND nx.k = wk.k WHERE nx.c2 < nx.c1),
+tr AS (SELECT series, k FROM wk UNION SELECT wk.series, cr.k FROM wk JOIN mv ON true JOIN cr ON cr.series = wk.series AND cr.k = wk.k + s)
+SELECT series, arg_min(k, crit) AS width, min(crit) AS crit, count(*) AS n_tried, true AS is_monotone, true AS is_settled FROM tr JOIN cr USING (series, k) GROUP BY series""")
+def _(spark, d):
+    """Frontier search with a criterion in DataFrame functions: the width of a trailing mean by its one-step errors."""
+    low, high, first = _MEANS
+    rows = panel(spark, d, "weekly")
+    steps = spark.createDataFrame([([s], [low], [high]) for s in _STEPS], "step array<int>, low array<int>, high array<int>")
+    packed = AU.pack(rows, K)
+
+    def score(points):
+        k = F.col("point")[0]
+        at = F.sequence(F.lit(high + 1), F.size("values"))
+        errors = F.transform(at, lambda i: F.element_at("values", i) - F.aggregate(F.slice("values", i - k, k), F.lit(0.0), lambda a, v: a + v) / k)
+        n = F.size("values") - high
+        sse = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e * e)
+        return points.join(packed, K).where(n > 0).select(*K, "point", (n * F.log(sse / n)).alias("crit"), F.lit(None).cast("string").alias("error"))
+
+    starts = rows.select(*K).distinct().withColumn("point", F.array(F.lit(first)))
+    tried = FR.frontier_search(starts, K, steps, score)
+    return FR.search_report(tried, K, steps).withColumn("width", F.col("point")[0])
+
+
+@query("fc8_auto_search", "series:s family:s d:i is_monotone:b is_settled:b is_within:b", f"""
+{ctes('weekly')}, df AS (SELECT series, y, y - lag(y) OVER w AS y1, y - 2 * lag(y) OVER w + lag(y, 2) OVER w AS y2 FROM weekly WINDOW w AS (PARTITION BY series ORDER BY ds)),
+sd AS (SELECT series, stddev_pop(y) AS s0, stddev_pop(y1) AS s1, stddev_pop(y2) AS s2 FROM df GROUP BY series)
+SELECT series, family, CASE WHEN family <> 'arima' THEN NULL WHEN s1 < s0 AND NOT s2 < s1 THEN 1 WHEN s2 < s0 AND s2 < s1 THEN 2 ELSE 0 END AS d, true AS is_monotone, true AS is_settled, true AS is_within FROM sd, (SELECT unnest(['arima', 'ets', 'theta']) AS family)""")
+def _(spark, d):
+    """Walks of the automatic set: each round but the last improves, none ends beside an untried point, none tries more than the grid."""
+    tried = AU.auto_search(panel(spark, d, "weekly"), K, 52)
+    keys = [*K, "family"]
+    grid = F.when(F.col("family") == "arima", 72).otherwise(F.when(F.col("family") == "ets", 9).otherwise(21))
+    out = FR.search_report(tried, keys, AU.move_table(spark))
+    return out.withColumns({"d": F.when(F.col("family") == "arima", F.col("point")[0]), "is_within": F.col("n_tried").between(2, grid)})
+
+
+@query("fc8_auto_set", "series:s model:s cand:s h:i ds:d yhat:f4 yhat_lower:f4 yhat_upper:f4")
+def _(spark, d):
+    """Best family of each series by holdout error, at its best point, fitted on all rows."""
+    return train_models(panel(spark, d, "weekly"), K, "weekly", H, {"auto": AU.auto_set(52)})["forecast"]
+
+
 @query("fc12_train_and_refit", "series:s model:s cand:s h:i ds:d yhat:f4 yhat_lower:f4 yhat_upper:f4")
 def _(spark, d):
     def maker(model, grid):
