@@ -67,6 +67,23 @@ def test_bootstrap_is_stable_and_ordered(spark):
     assert r.upper_95 - r.yhat == pytest.approx(24, abs=2)
 
 
+def test_bootstrap_draws_are_those_of_a_plain_loop(spark):
+    import hashlib
+
+    import numpy as np
+
+    keys = ["a", "b"]
+    fc = spark.createDataFrame([("x", None, 1, 5.0), ("x", None, 2, 6.0), ("y", 3, 1, 7.0), ("z", 1, 1, 8.0)], "a string, b int, h int, yhat double")
+    fc = fc.withColumn("b", F.coalesce("b", F.lit(9)))
+    res = spark.createDataFrame([("x", 9, v) for v in (3.0, -1.0, 2.0, None, 0.5)] + [("y", 3, 4.0)], "a string, b int, res double")
+    got = {(r.a, r.h): (r.lower_80, r.upper_80) for r in bootstrap_interval(fc, res, keys, 50, (0.8,), seed=7).collect()}
+    assert set(got) == {("x", 1), ("x", 2), ("y", 1)} and got["y", 1] == (11.0, 11.0)
+    pool = sorted([3.0, -1.0, 2.0, 0.5])
+    for h, yhat in ((1, 5.0), (2, 6.0)):
+        draws = [pool[int(hashlib.md5(f"7|x|9|{h}|{i}".encode()).hexdigest()[:8], 16) % 4] for i in range(1, 51)]
+        assert got["x", h] == pytest.approx([yhat + v for v in np.quantile(draws, [0.1, 0.9])])
+
+
 def test_windows_without_keys(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(30)]
     df = spark.createDataFrame(rows, "ds date, y double")

@@ -143,11 +143,18 @@ class ConformalIntervals:
 
 
 def bootstrap_interval(fc: DataFrame, res: DataFrame, keys: Keys, n: int = 1000, levels: Sequence[float] = (0.5, 0.8, 0.95), seed: int = 42) -> DataFrame:
-    """Percentiles of the forecast plus n drawn residuals; draws come from a hash of key, step, number and seed,
-    so they do not depend on partitioning, and no sample rows are shuffled."""
+    """Percentiles of the forecast plus n drawn residuals. Draw i of a step takes the residual (in order) whose index is the
+    first 32 bits of md5 of ``seed|keys|h|i`` modulo their number, so draws depend on nothing else and are the same in any
+    engine; no sample rows are shuffled. A null key counts as empty text; a series without residuals has no row."""
     pool = res.where(F.col("res").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list("res")).alias("_r"))
     out = join_on_keys(fc, pool, keys)
-    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at("_r", (F.pmod(F.xxhash64(*keys, "h", i, F.lit(seed)), F.size("_r")) + 1).cast("int")))
+    head = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, "h")])
+
+    def draw(i: Column) -> Column:
+        bits = F.conv(F.substring(F.md5(F.concat_ws("|", head, i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+        return F.element_at("_r", (bits % F.size("_r") + 1).cast("int"))
+
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), draw)
     out = out.withColumn("_s", F.array_sort(draws))
     for lv in levels:
         a, name = 1 - lv, int(lv * 100)

@@ -218,6 +218,10 @@ def _(spark, d):
     return I.ConformalIntervals([*K, "model"]).fit(past).transform(ahead)
 
 
-@query("int7_bootstrap_interval", "series:s h:i yhat:f6 lower_50:f4 upper_50:f4 lower_95:f4 upper_95:f4")
+@query("int7_bootstrap_interval", "series:s h:i yhat:f6 lower_50:f4 upper_50:f4 lower_95:f4 upper_95:f4", f"""
+{ctes('fc', 'resid')}, pl AS (SELECT series, list(res ORDER BY res) AS r FROM resid WHERE res IS NOT NULL GROUP BY series),
+ix AS (SELECT series, h, yhat, r, CAST('0x' || substr(md5('42|' || series || '|' || h || '|' || i), 1, 8) AS BIGINT) % len(r) + 1 AS j FROM fc JOIN pl USING (series), (SELECT unnest(generate_series(1, 1000)) AS i)),
+dr AS (SELECT series, h, yhat, r[j] AS e FROM ix)
+SELECT series, h, yhat, yhat + quantile_cont(e, 0.25) AS lower_50, yhat + quantile_cont(e, 0.75) AS upper_50, yhat + quantile_cont(e, 0.025) AS lower_95, yhat + quantile_cont(e, 0.975) AS upper_95 FROM dr GROUP BY series, h, yhat""")
 def _(spark, d):
     return I.bootstrap_interval(panel(spark, d, "fc"), panel(spark, d, "resid"), K)
