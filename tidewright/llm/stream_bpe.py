@@ -26,7 +26,7 @@ _LATIN_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-
 #: Tokens read back at once, and the longest run whose ids are remembered.
 PART, SHORT = 1 << 16, 48
 #: Runs, and words within runs, of which two such lots at most are remembered.
-RUNS, WORDS = 300_000, 100_000
+RUNS, WORDS = 300_000, 240_000
 
 
 class Memory(dict):
