@@ -10,6 +10,7 @@ from tidewright.operators.forecast import arima as AR
 from tidewright.operators.forecast import auto as AU
 from tidewright.operators.forecast import base as B
 from tidewright.operators.forecast import boosted as BO
+from tidewright.operators.forecast import grids as GR
 from tidewright.operators.forecast import naive as NV
 from tidewright.operators.forecast import smooth as SM
 from tidewright.operators.forecast import structural as ST
@@ -384,3 +385,96 @@ def test_damped_trend_levels_off():
     assert up[-1] == pytest.approx(LINE[-1] + 120, rel=0.02)
     steps = np.diff(damped)
     assert np.all(steps[1:] < steps[:-1]) and steps[-1] < 0.02
+
+
+def by_candidate(df):
+    return {(r.series, r.cand, r.h): (r.ds, r.yhat, r.yhat_lower, r.yhat_upper, r.error) for r in df.collect()}
+
+
+def same_forecasts(a, b):
+    assert a.keys() == b.keys()
+    for k, (ds, *bounds, error) in a.items():
+        assert (ds, error) == (b[k][0], b[k][4]), k
+        if error is None:
+            assert bounds == pytest.approx(b[k][1:4], rel=1e-7), k
+
+
+def test_shared_sums_give_the_forecasts_of_single_fits(spark, series):
+    t = np.arange(130)
+    df = series(up=list(50 + t + 10 * np.sin(2 * np.pi * t / 52)), mixed=list(5 * np.cos(t / 9.0)), short=[3.0, 4.0, 5.0])
+    future = B.future_frame(df, K, 5, "weekly")
+    grid = ST.structural_grid(spark, "weekly")
+    hist, ahead = ST.holiday_columns(df), ST.holiday_columns(future)
+    single = by_candidate(B.fan_out(hist, ahead, K, grid, ST.structural_model, ST.HOLIDAY_COLS))
+    shared = by_candidate(ST.structural(df, future, K, grid))
+    same_forecasts(shared, single)
+    assert len({c for _, c, _ in shared}) == 48
+    # positive values are needed for one of two modes: one error row for each of these candidates
+    assert sum(v[4] is not None for (s, _, _), v in shared.items() if s == "mixed") == 24
+    # a list of its own for each series; one series has a list but no rows
+    own = df.select("series").distinct().where("series <> 'short'").crossJoin(grid.limit(7)).unionByName(
+        spark.createDataFrame([("gone", '{"growth": "flat", "mode": "additive", "freq": "weekly"}')], "series string, cand string"))
+    got = by_candidate(ST.structural(df, future, K, own))
+    assert [v[4] for (s, _, _), v in got.items() if s == "gone"] == ["ValueError: no history or no future"]
+    same_forecasts({k: v for k, v in got.items() if k[0] != "gone"}, {k: v for k, v in single.items() if k[0] != "short" and (k[0], k[1]) in {(s, c) for s, c, _ in got}})
+    # empty lists, and a series without a future
+    assert ST.structural(df, future, K, grid.limit(0)).count() == 0
+    lost = ST.structural(df, future.where("series <> 'up'"), K, grid).where("series = 'up'")
+    assert lost.count() == 48 and lost.where("error is null").count() == 0
+
+
+def test_shared_sums_solve_the_ridge_system():
+    """Against least squares on the columns with one more row for every penalty."""
+    y = 20 + RNG.rand(60).cumsum()
+    params = {"growth": "linear", "mode": "additive", "freq": "weekly", "trend_flexibility": 0.1, "season_flexibility": 1.0}
+    sums = ST._Sums(y, dates(64), params, 4, None, None)
+    weight = {"level": 0.0, "slope": 1e-3, "knot": 0.5, "season": 0.1}
+    a = np.vstack([sums.a[:60], np.diag([np.sqrt(weight[k] + 1e-9) for k in sums.kind])])
+    beta = np.linalg.lstsq(a, np.concatenate([sums.z, np.zeros(len(sums.kind))]), rcond=None)[0]
+    f, _ = ST.structural_model(y, dates(64), params, 4)
+    assert f == pytest.approx((sums.a @ beta)[60:] * sums.scale + sums.mean, rel=1e-6)
+
+
+def test_grids_of_two_series_differ(spark, series):
+    rows = [("a", "structural", "trend_flexibility", ["0.01", "0.05", "0.05"]), ("a", "structural", "season_mode", ["additive"]), ("a", "structural", "yearly", ["false"]),
+            ("b", "structural", "season_mode", ["multiplicative"]), ("b", "structural", "weekly", None), ("b", "structural", "yearly", []),
+            ("c", "ets", "trend", ["add", "mul"]), ("c", "ets", "damped", ["true", "false"]), ("c", "ets", "seasonal", ["none"])]
+    grid = spark.createDataFrame(rows, "series string, model string, param string, values array<string>")
+    got = GR.expand_grid(grid, K, "structural", {"freq": "weekly"})
+    n = {r.series: r.n for r in got.groupBy("series").agg(F.count_distinct("cand").alias("n")).collect()}
+    assert n == {"a": 2 * 1 * 2 * 3, "b": 2 * 1 * 4 * 3, "c": 2 * 2 * 4 * 3}
+    assert got.count() == sum(n.values())
+    assert got.where("series = 'a'").select(F.get_json_object("cand", "$.yearly")).distinct().collect() == [("false",)]
+    orders = GR.expand_grid(grid, K, "arima").where("series = 'a'")
+    assert orders.count() == 3 * 2 * 2 - 2
+    assert GR.expand_grid(grid.limit(0), K, "ets", {"period": 4}).count() == 0
+    forms = GR.expand_grid(grid, K, "ets", {"period": 4}).where("series = 'c'")
+    assert forms.count() == 4
+    df = series(c=list(100 * 1.02 ** np.arange(40)))
+    fc = SM.ets(df, B.future_frame(df, K, 6, "weekly"), K, forms)
+    assert fc.where("error is not null").count() == 0
+    ends = {r.cand: r.yhat for r in fc.where("h = 6").collect()}
+    factor = [v for c, v in ends.items() if '"mul"' in c]
+    added = {c: v for c, v in ends.items() if '"add"' in c}
+    assert factor == pytest.approx([100 * 1.02 ** 45] * 2, rel=1e-3)
+    damped, straight = (next(v for c, v in added.items() if f'"damped":"{d}"' in c) for d in ("true", "false"))
+    assert damped < straight
+
+
+def test_parameters_of_advice_are_read():
+    """Switching the waves off or on changes the columns."""
+    def n_season(**more):
+        sums = ST._Sums(SINE, dates(160), {"growth": "flat", "mode": "additive", "freq": "weekly", **more}, 4, None, None)
+        return sums.kind.count("season")
+
+    assert (n_season(), n_season(yearly="false"), n_season(weekly="true"), n_season(yearly="false", weekly="true"), n_season(yearly="auto")) == (10, 0, 16, 6, 10)
+
+
+def test_default_parameters_become_candidates(spark):
+    rows = [("a", "ets", {"error": "add", "trend": "add", "seasonal": "add", "damped": "true", "m": "52"}), ("b", "ets", {"trend": "none", "seasonal": "add", "m": "none"}),
+            ("a", "sarimax", {"order": "1,1,1", "seasonal_order": "1,1,1,52"}), ("b", "sarimax", {"order": "2,0,1", "seasonal_order": "none"})]
+    params = spark.createDataFrame(rows, "series string, model string, params map<string,string>")
+    ets = {r.series: r.cand for r in GR.default_candidates(params, K, "ets").collect()}
+    assert ets == {"a": '{"damped":"true","period":"52","season":"add","trend":"add"}', "b": '{"period":"1","season":"none","trend":"none"}'}
+    sx = {r.series: r.cand for r in GR.default_candidates(params, K, "sarimax").collect()}
+    assert sx == {"a": '{"d":"1","p":"1","period":"52","q":"1"}', "b": '{"d":"0","p":"2","period":"1","q":"1"}'}

@@ -28,19 +28,23 @@ def _smooth(y: np.ndarray, m: int, trend: str, season: str, a: np.ndarray, b: np
     level = np.full(k, y[:m].mean() if season != "none" else y[0])
     slope = np.zeros(k)
     damp = DAMPING if trend == "damped" else 1.0
-    if trend != "none" and n > 1:
+    if trend == "mul":  # a factor a period, so its rest is 1
+        slope += (y[m:2 * m].mean() / y[:m].mean()) ** (1 / m) if season != "none" and n >= 2 * m else (y[min(n, 10) - 1] / y[0]) ** (1 / max(min(n, 10) - 1, 1))
+    elif trend != "none" and n > 1:
         slope += (y[m:2 * m].mean() - y[:m].mean()) / m if season != "none" and n >= 2 * m else (y[min(n, 10) - 1] - y[0]) / max(min(n, 10) - 1, 1)
     base = y[:m] - level[0] if season == "add" else y[:m] / level[0] if season == "mul" else np.zeros(m)
     s = np.tile(base, (k, 1))
     sse = np.zeros(k)
     for t in range(n):
         i = t % m
-        core = level + damp * slope
+        core = level * slope if trend == "mul" else level + damp * slope
         fit = core + s[:, i] if season == "add" else core * s[:, i] if season == "mul" else core
         sse += (y[t] - fit) ** 2
         seen = y[t] - s[:, i] if season == "add" else y[t] / np.where(s[:, i] == 0, 1e-9, s[:, i]) if season == "mul" else y[t]
         new = a * seen + (1 - a) * core
-        if trend != "none":
+        if trend == "mul":
+            slope = b * new / np.where(level == 0, 1e-9, level) + (1 - b) * slope
+        elif trend != "none":
             slope = b * (new - level) + (1 - b) * damp * slope
         if season == "add":
             s[:, i] = g * (y[t] - new) + (1 - g) * s[:, i]
@@ -51,20 +55,27 @@ def _smooth(y: np.ndarray, m: int, trend: str, season: str, a: np.ndarray, b: np
 
 
 def ets_model(y, ds, params, h, x=None, xf=None):
-    """Holt-Winters of one form; smoothing parameters by least squares over a small grid."""
+    """Holt-Winters of one form; smoothing parameters by least squares over a small grid.
+
+    Trend: none, add, damped or mul (a factor a period); ``damped`` true makes an added trend a damped one.
+    """
     trend, season, m = params["trend"], params["season"], int(params["period"])
+    if trend == "add" and str(params.get("damped", "false")).lower() == "true":
+        trend = "damped"
     n = len(y)
     if season != "none" and n < 2 * m:
         raise ValueError(f"needs {2 * m} values for the season, has {n}")
     if season == "mul" and np.min(y) <= 0:
         raise ValueError("multiplicative season needs positive values")
+    if trend == "mul" and np.min(y) <= 0:
+        raise ValueError("multiplicative trend needs positive values")
     if season == "none":
         m = 1
     a, b, g = smoothing_sets(trend, season)
     level, slope, s, sse = _smooth(y, m, trend, season, a, b, g)
     j = int(np.nanargmin(np.where(np.isfinite(sse), sse, np.inf)))
     steps = np.arange(1, h + 1)
-    core = level[j] + slope[j] * (np.cumsum(DAMPING**steps) if trend == "damped" else steps)
+    core = level[j] * slope[j]**steps if trend == "mul" else level[j] + slope[j] * (np.cumsum(DAMPING**steps) if trend == "damped" else steps)
     ring = s[j][(n + steps - 1) % m]
     yhat = core + ring if season == "add" else core * ring if season == "mul" else core
     sigma = np.sqrt(sse[j] / n) * np.sqrt(1 + a[j] ** 2 * (steps - 1))

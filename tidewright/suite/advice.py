@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import advice as A
 from ..operators import quality as Q
 from ..operators import signals as S
+from ..operators.forecast import grids as GR
+from ..operators.forecast import structural as ST
+from ..operators.forecast.base import future_frame
 from ..plans.profile import profile
 from .calendar import HOL
 from .panels import ctes, panel
@@ -172,6 +175,52 @@ def _(spark, d):
     return A.candidate_grid(chars(spark, d), K).withColumn("values", F.concat_ws(",", "values"))
 
 
+def _list_sql(model, param, src="gd"):
+    """The values of a list as rows: the advised ones, else those the model has itself."""
+    own = ",".join(str(v) for v in GR.OPEN_LISTS[model][param])
+    return f"(SELECT s.series, unnest(string_split(coalesce(max(r.v) FILTER (r.model = '{model}' AND r.param = '{param}'), '{own}'), ',')) AS v FROM (SELECT DISTINCT series FROM {src}) s JOIN {src} USING (series) GROUP BY s.series)"
+
+
+def _product_sql(model):
+    ps = list(GR.OPEN_LISTS[model])
+    return f"SELECT {ps[0]}.series, {', '.join(f'{p}.v AS {p}' for p in ps)} FROM {_list_sql(model, ps[0])} {ps[0]} " + " ".join(f"JOIN {_list_sql(model, p)} {p} USING (series)" for p in ps[1:])
+
+
+def _expanded(spark, d, model):
+    """Candidates of the regions from their own advised lists."""
+    df = panel(spark, d, "weekly")
+    fixed = {"freq": "weekly"} if model == "structural" else {"period": 52}
+    return GR.expand_grid(A.candidate_grid(chars(spark, d), K), K, model, fixed), df
+
+
+_ORDERS = "NOT (p = '0' AND q = '0')"
+
+
+@query("adv10_expanded_structural", "series:s growth:s mode:s trend_flexibility:s season_flexibility:s yearly:s weekly:s freq:s", f"""
+{ctes('weekly')}, {CHARS}, {_GRID} SELECT *, season_mode AS mode, 'weekly' AS freq FROM ({_product_sql('structural')})""")
+def _(spark, d):
+    cands, _ = _expanded(spark, d, "structural")
+    return cands.select("series", *[F.get_json_object("cand", f"$.{p}").alias(p) for p in ("growth", "mode", "trend_flexibility", "season_flexibility", "yearly", "weekly", "freq")])
+
+
+@query("adv10_expanded_orders", "series:s p:s d:s q:s", f"""
+{ctes('weekly')}, {CHARS}, {_GRID} SELECT * FROM ({_product_sql('arima')}) WHERE {_ORDERS}""")
+def _(spark, d):
+    cands, _ = _expanded(spark, d, "arima")
+    return cands.select("series", *[F.get_json_object("cand", f"$.{p}").alias(p) for p in "pdq"])
+
+
+@query("adv10_tuned_fits", "series:s n_candidates:i n_rows:i n_failed:i last_ds:d", f"""
+{ctes('weekly')}, {CHARS}, {_GRID}, pr AS ({_product_sql('structural')}), l AS (SELECT series, max(ds) AS ds, bool_or(y <= 0) AS low FROM weekly GROUP BY series)
+SELECT series, count(*) AS n_candidates, 12 * count(*) FILTER (season_mode = 'additive' OR NOT low) AS n_rows, count(*) FILTER (season_mode <> 'additive' AND low) AS n_failed,
+ CASE WHEN count(*) FILTER (season_mode = 'additive' OR NOT low) > 0 THEN any_value(l.ds) + 84 END AS last_ds FROM pr JOIN l USING (series) GROUP BY series""")
+def _(spark, d):
+    """Each series fitted with its own advised candidates."""
+    cands, df = _expanded(spark, d, "structural")
+    fc = ST.structural(df, future_frame(df, K, 12, "weekly"), K, cands)
+    return fc.groupBy("series").agg(F.count_distinct("cand").alias("n_candidates"), F.count("yhat").alias("n_rows"), F.count("error").alias("n_failed"), F.max("ds").alias("last_ds"))
+
+
 @query("adv10_profile_grid", "series:s model:s param:s values:s", f"""
 {ctes('sales')}, {HOL}, {PROFILE_CTES}, w AS (SELECT *, unique_periods AS n, history_months / 12 AS yrs FROM pf)
 SELECT series, model, param, v AS "values" FROM (
