@@ -103,3 +103,19 @@ def _(spark, d):
     back = R.read_panel(spark, path)
     return back.select("series", "model", F.size("predictions").alias("n"), F.element_at("forecast_dates", 1).cast("string").alias("first_date"), F.element_at("predictions", -1).alias("last_pred"),
                        F.aggregate("upper_bounds", F.lit(0.0), lambda s, x: s + x).alias("sum_upper"))
+
+
+@query("snk5_publish_attempts", "series:s model:s attempt:i n:i last_pred:f6 sum_pred:f5", f"""
+{ctes('models')}, w AS (SELECT *, CASE WHEN series >= 'E' THEN 2 ELSE 1 END AS attempt FROM models)
+SELECT series, model, attempt, count(*) AS n, arg_max(yhat, h) * attempt AS last_pred, sum(yhat) * attempt AS sum_pred FROM w GROUP BY series, model, attempt""")
+def _(spark, d):
+    """The first attempt twice, a second one for some series with other values: every series once, the later attempt wins."""
+    path = scratch(spark, "publish")
+    fc = panel(spark, d, "models").withColumns({"yhat_lower": F.col("yhat") * 0.75, "yhat_upper": F.col("yhat") * 1.25})
+    rows = WR.result_rows(fc, ["series", "model"])
+    again = WR.result_rows(fc.where("series >= 'E'").withColumn("yhat", F.col("yhat") * 2), ["series", "model"])
+    for part, attempt in ((rows, 1), (rows, 1), (again, 2)):
+        WR.publish(part, path, ["series"], attempt)
+    back = WR.published(spark, path, ["series"])
+    return back.select("series", "model", "attempt", F.size("predictions").alias("n"), F.element_at("predictions", -1).alias("last_pred"),
+                       F.aggregate("predictions", F.lit(0.0), lambda s, x: s + x).alias("sum_pred"))

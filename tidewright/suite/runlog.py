@@ -1,11 +1,16 @@
 """Run-log queries."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import runlog as R
 from ..operators import setops as S
 from ..operators import windows as WN
+from ..session import shared_folder
+from ..sources import writers as WR
 from .panels import ctes, panel, table
 from .registry import query
 
@@ -86,6 +91,21 @@ def _(spark, d):
     return R.finalize_runs(panel(spark, d, "jobs"), panel(spark, d, "results"))
 
 
+@query("log9_publish_final", "status:s n:i n_final:i seconds:i models:i", f"""
+{ctes('jobs', 'results')}, n AS (SELECT job_id, count(*) AS models_trained FROM results GROUP BY job_id)
+SELECT status, count(*) AS n, count(*) AS n_final, sum(CASE WHEN status IN ('COMPLETED', 'FAILED', 'CANCELLED') AND started_at IS NOT NULL THEN epoch(completed_at - started_at) ELSE duration_seconds END) AS seconds,
+ coalesce(sum(models_trained), 0) AS models FROM jobs LEFT JOIN n USING (job_id) GROUP BY status""")
+def _(spark, d):
+    """Jobs are published open, then rewritten with their results; each is read once, from the final attempt."""
+    path = os.path.join(shared_folder(spark), f"runs-{uuid.uuid4().hex}")
+    jobs = panel(spark, d, "jobs")
+    final = R.finalize_runs(jobs, panel(spark, d, "results"))
+    WR.publish(final.limit(0).unionByName(jobs, allowMissingColumns=True).select(*final.columns), path, ["job_id"], 1)
+    WR.publish(final, path, ["job_id"], 2)
+    return WR.published(spark, path, ["job_id"]).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("attempt") == 2).alias("n_final"), F.sum("duration_seconds").alias("seconds"), F.sum("models_trained").alias("models"))
+
+
 @query("log10_reproduction_params", "original_job_id:i request_params:s random_seed:i horizon:i frequency:s submitted_at:t", f"""
 {ctes('jobs')} SELECT job_id AS original_job_id, request_params, random_seed, horizon, frequency, submitted_at FROM jobs""")
 def _(spark, d):
