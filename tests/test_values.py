@@ -10,6 +10,7 @@ from tidewright.functions import dates as D
 from tidewright.functions import stats as ST
 from tidewright.operators import calendar as CAL
 from tidewright.operators import normalize as N
+from tidewright.operators import quality as Q
 from tidewright.operators import roles as R
 
 
@@ -82,3 +83,15 @@ def test_type_vote_and_table(spark):
 def test_week_anchor(spark, shift, code):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=7 * i + shift),) for i in range(20)]
     assert R.week_anchor(spark.createDataFrame(rows, "ds date"), []).first()["anchor"] == code
+
+
+def test_covariates_that_never_change(spark):
+    # 49 rows a part: sums of parts put the mean of 49 ones a last digit beside 1
+    rows = spark.range(0, 490, 1, 10).select(
+        F.col("id").cast("double").alias("y"), F.lit(1).alias("flag"), F.lit(0.1).alias("rate"), (F.col("id") * 3 + 1).alias("twin"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") > 480, 5).alias("short"))
+    got = {r["column"]: r for r in Q.leaky_covariates(rows, "y", ["flag", "rate", "twin", "none", "short"]).collect()}
+    assert list(got) == ["twin"] and got["twin"].correlation == pytest.approx(1) and got["twin"].is_leaky
+    assert Q.leaky_covariates(rows.withColumn("y", F.lit(2.5)), "y", ["flag", "twin"]).count() == 0
+    risk = {r["column"]: (r["corr"], r["risk"], r["reasons"]) for r in Q.leak_risk(rows, "y", ["flag", "rate"]).collect()}
+    assert risk == {"flag": (None, "low", []), "rate": (None, "low", [])}

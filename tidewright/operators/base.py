@@ -45,6 +45,15 @@ def median(c: Column) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: correlation over the rows that have both; NULL where either never changes, which ``corr`` fails on. Values
+    that never change are told by their ends, as their spread may be some last digits in sums of parts."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    changes = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(changes, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def codes(*pairs: tuple[Column, str]) -> Column:
     """Array of the codes whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import Keys, bands, by, codes, join_on_keys, median, ordered, percentile, running
+from .base import Keys, bands, by, codes, correlation, join_on_keys, median, ordered, percentile, running
 from .columns import per_column
 from .quantiles import exact_quantiles
 from .windows import flag_incomplete_tail, gap_limit, global_rank
@@ -190,12 +190,10 @@ def volume_class(means: DataFrame, keys: Keys, col: str = "period_mean") -> Data
 
 
 def leaky_covariates(df: DataFrame, y: str, covs: Sequence[str], threshold: float = 0.9) -> DataFrame:
-    """Correlation of each covariate with the target: leaky from the threshold, watched from 0.7.  One pass."""
-    def both(c: str) -> Column:
-        return F.col(y).isNotNull() & F.col(c).isNotNull()
-
+    """Correlation of each covariate with the target: leaky from the threshold, watched from 0.7.  One pass.
+    A covariate that never changes, like a flag set everywhere, has none and is left out."""
     out = per_column(df, covs, lambda c: {
-        "n": F.count_if(both(c)), "correlation": F.corr(F.when(both(c), F.col(y).cast("double")), F.when(both(c), F.col(c).cast("double")))})
+        "n": F.count_if(F.col(y).isNotNull() & F.col(c).isNotNull()), "correlation": correlation(F.col(y), F.col(c))})
     a = F.abs("correlation")
     out = out.where((F.col("n") >= 10) & F.col("correlation").isNotNull() & ~F.isnan("correlation") & (a >= 0.7))
     return out.select("column", "correlation", (a >= threshold).alias("is_leaky"))
@@ -206,7 +204,7 @@ def leak_risk(df: DataFrame, y: str, feats: Sequence[str]) -> DataFrame:
     total = F.count(y)
     out = per_column(df, feats, lambda c: {
         "corr": F.when((total == F.count(c)) & (total > 10) & (F.count_if(F.col(y).isNotNull() & F.col(c).isNotNull()) > 10),
-                       F.corr(F.col(y).cast("double"), F.col(c).cast("double")))})
+                       correlation(F.col(y), F.col(c)))})
     a = F.abs(F.nanvl(F.col("corr"), F.lit(0.0)))
     bad_lag = F.coalesce(F.regexp_extract("column", "^lag_(-?[0-9]+)(_|$)", 1).try_cast("int") < 1, F.lit(False))
     named = F.lower("column").rlike("|".join(FUTURE_WORDS))
