@@ -46,3 +46,38 @@ def test_odd_rows(spark, toxic):
     if len({t for t in toxic if t is not None}) < 2:
         assert {round(r["score"]) for r in rows} == {1 if 1 in toxic else 0}
     assert toxicity.classify(docs.limit(0), model, "text", "lang").count() == 0
+
+
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEEN", 0)
+    n = 9000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 8 = 0, concat('vile w', id), concat('calm w', id)) as text", "if(id % 3 = 0, 'en', 'de') as lang")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 8 = 0, 1, 0) as toxic")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "lang", "toxic")
+    assert sum(model.rows) == n and min(model.rows) > 1500
+    rows = toxicity.classify(docs, model, "text", "lang").groupBy((docs.doc_id % 8 == 0).alias("bad")).agg({"score": "avg"}).collect()
+    got = {r["bad"]: r[1] for r in rows}
+    assert got[True] > 0.9 and got[False] < 0.1 and set(model.cut) == {"en", "de"}
+
+
+def test_shards_share_what_they_learn(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    r = random.Random(5)
+    words = [f"{r.choice('bcdfg')}{r.choice('aeiou')}{k}" for k in range(200)]
+    rows = [(i, " ".join(r.choices(words, k=20) + (["vile"] if i % 4 == 0 else [])), "en", i % 4 == 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, y boolean")
+    labels = docs.selectExpr("doc_id", "int(y) as toxic")
+    parts = [toxicity.fit(d, labels, "doc_id", "text", "lang", "toxic") for d in (docs.repartition(7), docs.coalesce(1).orderBy("text"))]
+    assert parts[0].rows == parts[1].rows and np.array_equal(parts[0].matrix(), parts[1].matrix()) and parts[0].cut == parts[1].cut
+    score = toxicity.Scorer(parts[0]).scores([t for _, t, _, _ in rows])
+    assert auc(np.array(score), np.array([int(y) for *_, y in rows])) > 0.9
+
+
+def test_parameters_as_rows():
+    model = toxicity.Model.start(2)
+    model.top_bias = 0.25
+    again = toxicity.Model.of(model.matrix())
+    assert np.array_equal(again.matrix(), model.matrix()) and again.top_bias == 0.25 and np.array_equal(again.filters[2], model.filters[2])
+    texts = ["a bad word", "", "x " * 500]
+    coded = [np.array([toxicity.buckets(w) for w in toxicity.split(t)], np.int32).reshape(-1, 3) for t in texts]
+    assert np.allclose(toxicity.Scorer(model).logits(texts), toxicity.Scorer(model).logits_of(coded), atol=1e-6)
