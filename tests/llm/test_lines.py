@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+
 from tidewright.llm import lines
 from tidewright.llm.store import table
 
@@ -86,3 +90,59 @@ def test_pairs_at_the_threshold_share_a_band():
         same = (s[::2] == s[1::2]).all(axis=2).any(axis=1)
         missed, n = missed + int((~same).sum()), n + len(same)
     assert n == 20_000 and missed <= 3
+
+
+def batch(*texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts)], ["id", "hash", "text"])
+
+
+def test_bands_are_sent_once_and_packed():
+    """A line costs nine bytes a band, its copies nothing; ties are those of all pairs of lines with a common band."""
+    r = random.Random(3)
+    own = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(20, 300))) + "z" for _ in range(300)]
+    own += [x[:-3] + "y" for x in own[:150]] + [own[0] + "!" * k for k in range(5)] + ["short", "tiny"]
+    packets = list(lines._banded(3)(iter([batch("\n".join(own), *own[:200]), batch(*own)])))
+    assert sum(len(e) for b in packets for e in b.column("entries").to_pylist()) <= 10 * lines.BANDS * len(own)
+    rows = sorted(r for b in packets for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    cut = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.int32(), pa.binary()), strict=True)], ["part", "entries"])
+           for part in (rows[:7], rows[7:])]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for b in lines._ties(iter(cut)):
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            up[root(x)] = root(y)
+    names = [lines._name(xxhash.xxh3_128_digest(x.encode())) for x in own]
+    got = {x for x in names if sum(root(x) == root(y) for y in names) > 1}
+    s = lines._sketches(own)
+    alike = {(i, j) for i in range(len(own)) for j in range(i) if (s[i] == s[j]).any()}
+    assert got == {names[i] for p in alike for i in p} and len(got) >= 290
+    assert all(root(names[i]) == root(names[j]) for i, j in alike)
+
+
+def test_places_of_equal_lines(monkeypatch):
+    """Only the first place of a line in a chunk keeps its fingerprint, and isn't told again where its row repeats."""
+    ids = [5, 3, None, None, 9]
+    b = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([1, 2, 3, 3, 4], pa.int64()), pa.array(["x\ny", "x", "x", "x", "x\nx"])], ["id", "hash", "text"])
+    rows = [r for out in lines._places(iter([b])) for r in out.to_pylist()]
+    assert [(r["id"], r["line"], r["fingerprint"] is not None) for r in rows] == [(5, 0, False), (5, 1, True), (3, 0, False), (None, 0, True), (9, 0, False), (9, 1, False)]
+    assert len({r["name"] for r in rows}) == 2
+    monkeypatch.setattr(lines, "CHUNK", 0)
+    assert all(r["fingerprint"] for out in lines._places(iter([b])) for r in out.to_pylist())
+
+
+def test_short_and_long_lines_keep_their_sketch():
+    """A sketch depends on the line alone, whatever else is sketched with it."""
+    own = ["a", "ab\tc", "x" * 7, "x" * 8, "abcdefghi" * 9000, "é" * 41, "q"]
+    together = lines._sketches(own)
+    assert all((lines._sketches([x])[0] == together[i]).all() for i, x in enumerate(own))
+    values = {x: np.unique(lines._values(np.frombuffer(x.encode("utf-32-le"), np.uint32))[:len(x) - 7]) for x in own if len(x) > 7}
+    for x, v in values.items():
+        band = np.zeros(1, np.uint64)
+        for f in lines._FACTORS[:lines.ROWS]:
+            band = lines.mixed(band * np.uint64(lines._PRIME) + (v * f).min())
+        assert band[0] == together[own.index(x)][0]

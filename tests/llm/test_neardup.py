@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidewright.llm import neardup
+from tidewright.llm import graph, neardup
 from tidewright.llm.graph import components
 from tidewright.llm.store import table
 
@@ -100,3 +100,11 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long"))
     assert result(got) == sorted((i, root(i)) for i in up)
     assert result(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_components_in_rounds_and_in_one_task_agree(spark, monkeypatch):
+    r = random.Random(8)
+    links = spark.createDataFrame([(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(1000, i) for i in range(1001, 1100)], "a long, b long").repartition(6)
+    at_once = result(components(links))
+    monkeypatch.setattr(graph, "EDGES", 0)
+    assert result(components(links)) == at_once and len(at_once) > 100

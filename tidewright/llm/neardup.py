@@ -146,12 +146,13 @@ class _Forest:
 
 def _few(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect a few sets, each pair counted that nothing connects yet."""
-    own, forest, out = [set(s.tolist()) for s in sets], _Forest(len(sets)), []
-    for j in range(1, len(own)):
+    forest, out = _Forest(len(sets)), []
+    for j in range(1, len(sets)):
         for i in range(j):
-            n, m = len(own[i]), len(own[j])
+            n, m = len(sets[i]), len(sets[j])
             if min(n, m) * 100 >= max(n, m) * percent and forest.root(i) != forest.root(j):
-                shared = len(own[i] & own[j])
+                both = np.sort(np.concatenate([sets[i], sets[j]]))
+                shared = np.count_nonzero(both[1:] == both[:-1])
                 if shared * 100 >= percent * (n + m - shared):
                     forest.join(i, j)
                     out.append((i, j))
@@ -242,16 +243,16 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def connect(classes: DataFrame, bands: Column, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int) -> DataFrame:
+def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int) -> DataFrame:
     """Columns class, component over the classes that are linked to others at all.
 
-    ``classes``: class, n and what ``bands``, an array of buckets, is made of; registers help to compare, if there are
-    any, and a sketch serves for the bands only. ``texts`` adds a column text to rows with the columns of ``classes``. Only texts of classes that share a bucket with others are
+    ``groups``, a written table: group, class and n of classes that share a bucket with others, directly or through others
+    (see ``coarse``); registers help to compare, if there are any. ``texts`` adds a column text to rows with the columns of
+    ``groups``. Only texts of these classes are
     moved. A group that fits one task is compared there. A larger one, such as the near copies of one text that fill a
     third of all rows, is dealt into blocks by hash, each with the same few pivots of the group; nearly all its members
     then hang together through the pivots, and the rest is compared, in blocks, with every block. No pair that could be
     linked is left out, and no task holds more than a few blocks."""
-    groups = written(coarse(classes, bands).join(classes.drop("sketch"), "class"))
     sizes = written(groups.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
                     .select("group", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("s") / SHINGLES)).alias("blocks")))
     empty = F.lit(None).cast("long")
@@ -299,7 +300,8 @@ def near_duplicates(df: DataFrame, id: str, text: str, width: int = 5, percent:
     classes = written(rows.where("n > 0 and id is not null").groupBy("fingerprint")
                       .agg(F.min("id").alias("class"), F.max("n").alias("n"), F.max("registers").alias("registers")))
     texts = df.select(F.col(id).cast("long").alias("class"), F.col(text).alias("text"))
-    found = written(connect(classes.drop("fingerprint"), buckets(bands), lambda rows: rows.join(texts, "class"), how, percent))
+    groups = written(coarse(classes, buckets(bands)).join(classes.drop("fingerprint"), "class"))
+    found = written(connect(groups, lambda rows: rows.join(texts, "class"), how, percent))
     named = (classes.select("fingerprint", "class").join(found, "class", "left")
              .select("fingerprint", F.coalesce("component", "class").alias("component")))
     return (rows.join(named, "fingerprint", "left")
