@@ -140,6 +140,7 @@ def test_short_and_long_lines_keep_their_sketch():
     own = ["a", "ab\tc", "x" * 7, "x" * 8, "abcdefghi" * 9000, "é" * 41, "q"]
     together = lines._sketches(own)
     assert all((lines._sketches([x])[0] == together[i]).all() for i, x in enumerate(own))
+    assert all((a == lines.shingles(x)).all() for a, x in zip(lines.LineShingles().sets(own), own, strict=True))
     values = {x: np.unique(lines._values(np.frombuffer(x.encode("utf-32-le"), np.uint32))[:len(x) - 7]) for x in own if len(x) > 7}
     for x, v in values.items():
         band = np.zeros(1, np.uint64)

@@ -25,9 +25,11 @@ WIDTH, BANDS, ROWS = 8, 20, 4
 #: then compared exactly.
 NAMED = 5
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: What leads from the values under one factor to those under the next.
+_STEPS = [np.uint32(int(f) * pow(int(g), -1, 1 << 32) % (1 << 32)) for g, f in zip([1, *_FACTORS], _FACTORS, strict=False)]
 _PRIME, _SMALL = 0x9E3779B97F4A7C15, 0x9E3779B1
 #: Characters hashed at once, shingles of a column and columns of a block whose minima are taken together.
-CHUNK, COLUMN, BLOCK = 1 << 20, 32, 4096
+CHUNK, COLUMN, BLOCK = 1 << 20, 32, 2048
 #: Lines whose bands are sorted and sent at once, lines a task remembers to have sketched, and lines a part of a band.
 SENT, MET, PART = 1 << 16, 200_000, 1 << 17
 _ENTRY = np.dtype([("band", "<u4"), ("line", "u1", NAMED)])
@@ -46,7 +48,11 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 def shingles(line: str) -> np.ndarray:
     """The set of a line's hashed shingles; a shorter line is one shingle as a whole."""
     h = _hashes(np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32))
-    h = np.sort(h[:max(1, len(h) - WIDTH + 1)])  # several times faster than np.unique
+    return _distinct(h[:max(1, len(h) - WIDTH + 1)])
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)  # several times faster than np.unique
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
@@ -87,9 +93,8 @@ def _sketches(lines: list[str]) -> np.ndarray:
     for at in range(0, len(begin), BLOCK):
         cut = slice(at, at + BLOCK)
         block = values[np.minimum(begin[cut] + np.arange(COLUMN)[:, None], last[cut])]
-        product = np.empty_like(block)
-        for f, out in zip(_FACTORS, least[:, cut], strict=True):
-            np.minimum.reduce(np.multiply(block, f, out=product), axis=0, out=out)
+        for step, out in zip(_STEPS, least[:, cut], strict=True):
+            np.minimum.reduce(np.multiply(block, step, out=block), axis=0, out=out)
     least = np.minimum.reduceat(least, first, axis=1)
     out = np.zeros((BANDS, len(lines)), np.uint64)
     for i, low in enumerate(least):
@@ -97,22 +102,21 @@ def _sketches(lines: list[str]) -> np.ndarray:
     return out.T.copy()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, ...]]:
     """Ids, hashes, line numbers, lines and their fingerprints: those with a word, about CHUNK characters at once."""
-    has_word = re.compile(WORD).search
+    has_word, fingerprint = re.compile(WORD).search, xxhash.xxh3_128_digest
     for b in batches:
-        held, size = ([], [], [], [], []), 0
+        held, size = [], 0
         for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             for number, line in enumerate((t or "").split("\n")):
                 if has_word(line):
-                    for x, v in zip(held, (i, h, number, line, xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))), strict=True):
-                        x.append(v)
+                    held.append((i, h, number, line, fingerprint(line.encode("utf-8", "replace"))))
                     size += len(line) + 1
                     if size > CHUNK:
-                        yield held
-                        held, size = ([], [], [], [], []), 0
-        if held[0]:
-            yield held
+                        yield tuple(zip(*held, strict=True))
+                        held, size = [], 0
+        if held:
+            yield tuple(zip(*held, strict=True))
 
 
 def _name(fingerprint: bytes) -> int:
@@ -159,7 +163,7 @@ def _banded(parts: int) -> Callable:
         for i in range(BANDS):
             h = sketches[:, i]
             key = ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, own = key[order], names[order]
             again = np.flatnonzero(key[1:] == key[:-1])
             tied = np.empty(len(again), _TIE)
@@ -202,8 +206,9 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (_names_of(np.frombuffer(packed, _TIE)[k]) for k in "ab")
         else:
             entries = np.frombuffer(packed, _ENTRY)
-            order = np.argsort(entries["band"], kind="stable")
-            band, own = entries["band"][order], _names_of(entries["line"])[order]
+            band = entries["band"].copy()
+            order = np.argsort(band)
+            band, own = band[order], _names_of(entries["line"])[order]
             same = band[1:] == band[:-1]
             a, b = own[1:][same], own[:-1][same]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -213,6 +218,14 @@ class LineShingles:
     def __call__(self, text: str) -> np.ndarray:
         return shingles(text)
 
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """The sets of several lines, hashed at once."""
+        h, at, out = _hashes(np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)), 0, []
+        for x in texts:
+            out.append(_distinct(h[at:at + len(x) - WIDTH + 1]) if len(x) >= WIDTH else shingles(x))
+            at += len(x) + 1
+        return out
+
 
 def drop_repeated(df: DataFrame, id: str, text: str, percent: int = 80) -> DataFrame:
     """``df`` with the column ``text`` without repeated lines, and n_lines and n_removed (long).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,8 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MEMO = 1 << 18
 #: A group that is compared in one task holds at most so many texts, and shingles; larger groups go in blocks.
 MEMBERS, SHINGLES, PIVOTS = 2048, 4_000_000, 16
+#: Characters of small groups whose sets are made at once.
+LOT = 1 << 14
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -55,6 +58,9 @@ class WordShingles:
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i])
         return np.unique(out)
 
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self(t) for t in texts]
+
 
 def bands_for(percent: int) -> int:
     """Bands of ROWS registers so that a pair of just this similarity shares none with a chance of MISSED at most: 20 at 85
@@ -217,15 +223,31 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]
         yield held
 
 
+def _with_sets(groups: Iterator[list[dict]], of: Callable) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
+    """Groups, a row for each class, and the sets of their texts; those of small groups are made LOT characters at once."""
+    held, size = [], 0
+
+    def made():
+        sets = iter(of.sets([r["text"] for group in held for r in group]))
+        return [(group, list(itertools.islice(sets, len(group)))) for group in held]
+
+    for group in groups:
+        group.sort(key=lambda r: (r["class"], not r["asks"]))
+        held.append([r for i, r in enumerate(group) if i == 0 or group[i - 1]["class"] != r["class"]])
+        size += sum(len(r["text"] or "") for r in held[-1])
+        if size > LOT:
+            yield from made()
+            held, size = [], 0
+    if held:
+        yield from made()
+
+
 def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], percent: int) -> DataFrame:
     """Links (a, b) within each group of rows (keys, class, registers, text, component, asks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, a, b = shingles(), [], []
-        for group in _groups(batches, len(keys)):
-            group.sort(key=lambda r: (r["class"], not r["asks"]))
-            group = [r for i, r in enumerate(group) if i == 0 or group[i - 1]["class"] != r["class"]]
-            sets = [of(r["text"]) for r in group]
+        for group, sets in _with_sets(_groups(batches, len(keys)), of):
             regs = None
             if "registers" in group[0]:
                 regs = np.frombuffer(b"".join(r["registers"] for r in group), "<u2").reshape(len(group), -1)
