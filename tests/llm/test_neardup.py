@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tidewright.llm import graph, neardup
+import corpus_pipeline
+from tidewright.llm import graph, lines, neardup
 from tidewright.llm.graph import components
 from tidewright.llm.store import table
 
@@ -108,3 +109,42 @@ def test_components_in_rounds_and_in_one_task_agree(spark, monkeypatch):
     at_once = result(components(links))
     monkeypatch.setattr(graph, "EDGES", 0)
     assert result(components(links)) == at_once and len(at_once) > 100
+
+
+def python_operators(plan):
+    """Of all stages the most operators whose Python workers run beside each other in a task."""
+    most = 0
+
+    def within(node):
+        nonlocal most
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return within(node.initialPlan())
+        children = node.children()
+        below = sum(within(children.apply(i)) for i in range(children.size()))
+        if "Exchange" in node.nodeName():
+            return 0
+        most = max(most, n := below + (node.nodeName() in ("MapInArrow", "ArrowEvalPython")))
+        return n
+
+    within(plan._jdf.queryExecution().executedPlan())
+    return most
+
+
+@pytest.mark.parametrize("members", [2048, 16])
+def test_a_task_has_one_python_worker(spark, monkeypatch, members):
+    """Every stage of the pipeline's comparisons, as they are planned: workers of a task add up in an executor's memory."""
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    plans, write = [], neardup.written
+
+    def written(df):
+        plans.append(python_operators(df))
+        return write(df)
+
+    for module in (graph, lines, neardup):
+        monkeypatch.setattr(module, "written", written)
+    rows = [(i, t, "en", "web", len(t)) for i, t in dict(chain(60)).items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        plans.append(python_operators(stage(spark, docs, None)))
+    assert len(plans) > 12 and max(plans) == 1

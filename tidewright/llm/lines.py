@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, contract
 from .neardup import connect, mixed
 from .store import WORD, written
 
@@ -214,6 +214,10 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return contract(_ties(batches))
+
+
 class LineShingles:
     def __call__(self, text: str) -> np.ndarray:
         return shingles(text)
@@ -249,7 +253,7 @@ def drop_repeated(df: DataFrame, id: str, text: str, percent: int = 80) -> DataF
     classes = rows.where("own").drop("own")
     parts = max(1, math.ceil(classes.count() / PART))
     bands = narrow.mapInArrow(_banded(parts), "part int, entries binary").repartition("part").sortWithinPartitions("part")
-    near = components(bands.mapInArrow(_ties, "a long, b long")).select(F.col("node").alias("name"), F.col("component").alias("group"))
+    near = components(bands.mapInArrow(_tied, "a long, b long"), contracted=True).select(F.col("node").alias("name"), F.col("component").alias("group"))
     groups = written(classes.join(near, "name").drop("name"))
 
     def texts(members: DataFrame) -> DataFrame:
@@ -272,6 +276,7 @@ def drop_repeated(df: DataFrame, id: str, text: str, percent: int = 80) -> DataF
 
         return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
+    without = without.asNondeterministic()  # else a caller's filter on the text has it run once more, in a worker of its own
     out = src.join(gone, F.col(id).cast("long").eqNullSafe(gone["id"]) & (F.col("_hash") == gone["hash"]), "left").drop(gone["id"]).drop(gone["hash"])
     return (out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"))
             .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, contract
 from .store import written
 
 #: SetSketch: registers and their spacing (the published settings: base 1.001, rate 20, 16-bit registers).
@@ -243,7 +243,7 @@ def _with_sets(groups: Iterator[list[dict]], of: Callable) -> Iterator[tuple[lis
 
 
 def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], percent: int) -> DataFrame:
-    """Links (a, b) within each group of rows (keys, class, registers, text, component, asks)."""
+    """Links (a, b) within each group of rows (keys, class, registers, text, component, asks), as a task contracts its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, a, b = shingles(), [], []
@@ -262,7 +262,7 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = rows.select(*keys, "class", *[c for c in rows.columns if c == "registers"], "text", "component", "asks")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: contract(run(batches)), "a long, b long")
 
 
 def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles
     members = texts(groups.join(sizes, "group")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     members = members.withColumn("component", empty).withColumn("asks", F.lit(False))
     if not sizes.where("blocks > 1").head(1):
-        return components(_link(members, ["group"], shingles, percent)).select(F.col("node").alias("class"), "component")
+        return components(_link(members, ["group"], shingles, percent), contracted=True).select(F.col("node").alias("class"), "component")
     members = written(members)
     large = members.where("blocks > 1")
     by_hash = F.struct(F.xxhash64(F.lit("pivot"), "class"), F.col("class"))
@@ -289,7 +289,7 @@ def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles
     spread = large.select("group", "blocks").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     copies = pivots.drop("block", "blocks").join(spread, "group").select(*members.columns)
     links = written(_link(members.unionByName(copies), ["group", "block"], shingles, percent))
-    found = written(components(links))
+    found = written(components(links, contracted=True))
     label = F.coalesce(F.col("l"), F.col("class"))
     named = large.join(found.select(F.col("node").alias("class"), F.col("component").alias("l")), "class", "left").withColumn("component", label).drop("l")
     count = named.groupBy("group", "component").agg(F.count("*").alias("k"))
@@ -300,7 +300,7 @@ def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles
     asked = rest.drop("block").join(spread.select("group", "block"), "group")
     among = named.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     more = _link(asked.unionByName(among.select(*asked.columns)), ["group", "block", "part"], shingles, percent)
-    return components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+    return components(links.unionByName(more), contracted=True).select(F.col("node").alias("class"), "component")
 
 
 def _smallest(rows: DataFrame, by_hash) -> DataFrame:
