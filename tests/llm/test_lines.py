@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from tidewright.llm import lines
+from tidewright.llm import lines, neardup
 from tidewright.llm.store import table
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,34 @@ def test_short_and_long_lines_keep_their_sketch():
         for f in lines._FACTORS[:lines.ROWS]:
             band = lines.mixed(band * np.uint64(lines._PRIME) + (v * f).min())
         assert band[0] == together[own.index(x)][0]
+
+
+def test_weak_ties_do_not_make_wide_groups(spark, monkeypatch):
+    """Lines that have a quarter in common hang together by bands of four values; they were all compared with all."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = letters(100)
+    own = [common + letters(150) for _ in range(200)]
+    near = [x[:-1] + "#" for x in own[:60]]
+    rows = [(i, x) for i, x in enumerate(own + near)]
+    rng.shuffle(rows)
+    compared, link = [], neardup._link
+
+    def counted(rows, *rest):
+        compared.append(rows.count())
+        return link(rows, *rest)
+
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    monkeypatch.setattr(neardup, "_link", counted)
+    got = lines.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert result(got) == brute(rows)
+    assert sum(compared) < 4 * len(rows)
+
+
+def test_finer_bands_are_those_of_equal_sets(spark):
+    texts = ["one line of some length, and more", "x", "abcdefgh" * 9, "abcdefgh" * 12, "another line of some length, and more"] + ["y" * 200_000] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "class long, text string").coalesce(1)
+    bands = {r["class"]: r["bands"] for r in lines._finer(df).collect()}
+    assert len(bands) == len(texts) and {len(b) for b in bands.values()} == {80}
+    assert bands[2] == bands[3] and bands[5] == bands[6]
+    assert len(set(bands[0]) & set(bands[4])) < 80 and not set(bands[0]) & set(bands[1])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -148,3 +149,30 @@ def test_a_task_has_one_python_worker(spark, monkeypatch, members):
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
         plans.append(python_operators(stage(spark, docs, None)))
     assert len(plans) > 12 and max(plans) == 1
+
+
+@pytest.mark.parametrize("families", [1, 4])
+def test_many_members_as_all_pairs(families):
+    """Groups above MANY members: sets that stand for several, usual ones multiplied out, others from the index."""
+    rng = np.random.default_rng(families)
+    sets = []
+    for f in range(families):
+        base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+        for _ in range(240 // families):
+            s = base[rng.random(60) > rng.choice([0, 0.05, 0.1, 0.15])]
+            sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 60, int(rng.integers(0, 8)), dtype=np.uint64)])))
+    whole = [frozenset(s.tolist()) for s in sets]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if len(whole[i] & whole[j]) * 100 >= 80 * len(whole[i] | whole[j])}
+
+    def parts(links):
+        up = neardup._Forest(len(sets))
+        for i, j in links:
+            up.join(i, j)
+        return [up.root(i) for i in range(len(sets))]
+
+    first = neardup.linked_within(sets[:120], None, 80)
+    assert all((max(x), min(x)) in near for x in first)
+    assert parts(first) == parts([p for p in near if max(p) < 120])
+    known = parts(first)
+    asked = np.arange(120, len(sets))
+    assert parts([*first, *neardup.linked_within(sets, None, 80, known, asked)]) == parts(near)

@@ -25,8 +25,18 @@ WIDTH, BANDS, ROWS = 8, 20, 4
 #: then compared exactly.
 NAMED = 5
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: What leads from the values under one factor to those under the next.
-_STEPS = [np.uint32(int(f) * pow(int(g), -1, 1 << 32) % (1 << 32)) for g, f in zip([1, *_FACTORS], _FACTORS, strict=False)]
+
+
+def _steps(factors: np.ndarray) -> list[np.uint32]:
+    """What leads from the values under one factor to those under the next."""
+    return [np.uint32(int(f) * pow(int(g), -1, 1 << 32) % (1 << 32)) for g, f in zip([1, *factors], factors, strict=False)]
+
+
+_STEPS = _steps(_FACTORS)
+#: Bands of more values that take large groups apart, as many values at once as above. A pair of similarity 0.8 shares none with
+#: probability 0.0000004, one of 0.3 does with 0.005; the bands above tie the latter with 0.15.
+FINE_ROWS = 8
+_FINE = [_steps(x) for x in np.random.default_rng(8).integers(1, 1 << 31, (8, BANDS * ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)]
 _PRIME, _SMALL = 0x9E3779B97F4A7C15, 0x9E3779B1
 #: Characters hashed at once, shingles of a column and columns of a block whose minima are taken together.
 CHUNK, COLUMN, BLOCK = 1 << 20, 32, 2048
@@ -75,7 +85,7 @@ def _values(points: np.ndarray, span: int = 1 << 15) -> np.ndarray:
     return out
 
 
-def _sketches(lines: list[str]) -> np.ndarray:
+def _sketches(lines: list[str], steps: list[np.uint32] = _STEPS, rows: int = ROWS) -> np.ndarray:
     """Band hashes of lines (not empty), from MinHash values made of the hashes of all of them at once. A line's hashes fill
     columns of COLUMN rows, the last one up with its last hash, so that minima are taken along rows of a block."""
     joined = "\n".join(lines)
@@ -89,19 +99,39 @@ def _sketches(lines: list[str]) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(columns)[:-1]])
     begin = np.repeat(starts - COLUMN * first, columns) + COLUMN * np.arange(columns.sum())
     last = np.repeat(starts + use - 1, columns)
-    least = np.empty((BANDS * ROWS, len(begin)), np.uint32)
+    least = np.empty((len(steps), len(begin)), np.uint32)
     for at in range(0, len(begin), BLOCK):
         cut = slice(at, at + BLOCK)
         block = values[np.minimum(begin[cut] + np.arange(COLUMN)[:, None], last[cut])]
-        for step, out in zip(_STEPS, least[:, cut], strict=True):
+        for step, out in zip(steps, least[:, cut], strict=True):
             np.minimum.reduce(np.multiply(block, step, out=block), axis=0, out=out)
     least = np.minimum.reduceat(least, first, axis=1)
-    out = np.zeros((BANDS, len(lines)), np.uint64)
+    out = np.zeros((len(steps) // rows, len(lines)), np.uint64)
     for i, low in enumerate(least):
-        out[i // ROWS] = mixed(out[i // ROWS] * np.uint64(_PRIME) + low)
+        out[i // rows] = mixed(out[i // rows] * np.uint64(_PRIME) + low)
     return out.T.copy()
 
 
+def _finer(members: DataFrame) -> DataFrame:
+    """Columns class and bands: the finer bands of the members' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, at = b.column(1).to_pylist(), 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and size < CHUNK // 8:
+                    size += len(texts[to])
+                    to += 1
+                bands = np.concatenate([_sketches(texts[at:to], steps, FINE_ROWS) for steps in _FINE], axis=1)
+                flat = pa.array(bands.view(np.int64).ravel())
+                ends = pa.array(np.arange(to - at + 1, dtype=np.int32) * np.int32(bands.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.ListArray.from_arrays(ends, flat)], ["class", "bands"])
+                at = to
+
+    return members.select("class", "text").mapInArrow(run, "class long, bands array<long>")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, ...]]:
     """Ids, hashes, line numbers, lines and their fingerprints: those with a word, about CHUNK characters at once."""
     has_word, fingerprint = re.compile(WORD).search, xxhash.xxh3_128_digest
@@ -261,7 +291,7 @@ def drop_repeated(df: DataFrame, id: str, text: str, percent: int = 80) -> DataF
         at = members.join(of, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).drop("_id", "_hash")
         return at.withColumn("text", F.get(F.split("text", "\n"), F.col("line")))
 
-    found = written(connect(groups, texts, LineShingles, percent).join(groups, "class").select("component", place.alias("place")))
+    found = written(connect(groups, texts, LineShingles, percent, _finer).join(groups, "class").select("component", place.alias("place")))
     stays = found.groupBy("component").agg(F.min("place").alias("stays"))
     later = found.join(stays, "component").where("place <> stays").select("place.*")
     gone = rows.where("not own").select("id", "hash", "line").unionByName(later).groupBy("id", "hash").agg(F.collect_set("line").alias("_gone"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, contract
-from .store import written
+from .store import dropped, written
 
 #: SetSketch: registers and their spacing (the published settings: base 1.001, rate 20, 16-bit registers).
 ROWS, BASE, RATE = 5, 1.001, 20.0
@@ -27,6 +27,10 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MEMO = 1 << 18
 #: A group that is compared in one task holds at most so many texts, and shingles; larger groups go in blocks.
 MEMBERS, SHINGLES, PIVOTS = 2048, 4_000_000, 16
+#: Members from which on shingles that occur together are counted as one, and usual ones for so many members at once.
+MANY = 64
+#: Blocks from which on a group is first taken apart by finer bands, where there are any.
+WIDE = 4
 #: Characters of small groups whose sets are made at once.
 LOT = 1 << 14
 
@@ -168,7 +172,8 @@ def _few(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int, known: list[int] | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the members of a group as all links of at least ``percent`` would. Pairs whose registers'
     likelihood puts them within six standard deviations of that are looked at if nothing connects them yet; a member's
-    overlaps with all others come from an index of shingles at once, and exact counts decide. ``known`` gives
+    overlaps with all others come from an index of shingles at once, and exact counts decide. Where too few of
+    a member's shingles occur twice here, it is linked with nothing. ``known`` gives
     components found before; with ``queries`` only pairs with one of those are looked at; without registers all pairs
     of fitting sizes that nothing connects are counted."""
     n = len(sets)
@@ -179,17 +184,34 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
     starts = np.concatenate([[0], np.cumsum(size)])
     order = np.argsort(dense, kind="stable")
     owner = np.repeat(np.arange(n), size)[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(dense))])
+    often = np.bincount(dense)
+    first = np.concatenate([[0], np.cumsum(often)])
+    common = np.diff(np.concatenate([[0], np.cumsum(often[dense] > 1)])[starts])
+    weight = np.ones(len(often), np.int64)
+    if n > MANY:  # of shingles that the same members have, as those around one changed word, one stands for all
+        marks = np.add.reduceat(mixed(np.arange(1, n + 1, dtype=np.uint64))[owner], first[:-1])
+        _, one, kind, count = np.unique(marks, return_index=True, return_inverse=True, return_counts=True)
+        weight = np.where((one[kind] == np.arange(len(often))) & (often > 1), count[kind], 0)
+    # those that a quarter of the members have are multiplied out, a few members with all at once
+    usual = np.flatnonzero((weight > 0) & (often * 4 > n)) if n > MANY and size.max() < 1 << 24 else np.empty(0, np.int64)
+    held, worth = np.zeros((n, len(usual)), np.float32), weight[usual].astype(np.float32)
+    for k, x in enumerate(usual):
+        held[owner[first[x]:first[x + 1]], k] = 1
+    weight[usual] = 0
     out = []
     # which component each member is in: read for all others at once, rewritten only where two components join
     label = np.arange(n) if known is None else np.unique(np.array(known), return_inverse=True)[1]
     count = 1 if regs is None else regs.shape[1]
     spread = math.sqrt(percent / 100 * (1 - percent / 100) / count)
     least, agree = percent / 100 - 6 * spread, count * (percent / 100 - 8 * spread)
-    for i in range(n) if queries is None else queries:
+    asked = np.arange(n) if queries is None else queries
+    for k, i in enumerate(asked):
+        if k % MANY == 0:
+            together = (held[asked[k:k + MANY]] * worth) @ held.T
         lo = i + 1 if queries is None else 0
         others = np.arange(lo, n)
         others = others[(label[others] != label[i]) & (np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent) & (others != i)]
+        others = others[np.minimum(common[others], common[i]) * (100 + percent) >= percent * (size[others] + size[i])]
         if regs is not None and len(others):
             others = others[(regs[others] == regs[i]).sum(axis=1) >= agree]
         if regs is not None and len(others):
@@ -198,13 +220,14 @@ def linked_within(sets: list[np.ndarray], regs: np.ndarray | None, percent: int,
         if not len(others):
             continue
         own = dense[starts[i]:starts[i + 1]]
-        lengths = first[own + 1] - first[own]
+        own = own[weight[own] > 0]
+        lengths = often[own]
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared = np.bincount(owner[at], minlength=n)[others]
+        shared = np.bincount(owner[at], np.repeat(weight[own], lengths), minlength=n)[others] + together[k % MANY][others]
         for j in others[shared * 100 >= percent * (size[i] + size[others] - shared)]:
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                out.append((i, int(j)))
+                out.append((int(i), int(j)))
     return out
 
 
@@ -265,7 +288,26 @@ def _link(rows: DataFrame, keys: list[str], shingles: Callable[[], Callable], pe
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: contract(run(batches)), "a long, b long")
 
 
-def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int) -> DataFrame:
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Blocks in which each group is compared."""
+    return (groups.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+            .select("group", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("s") / SHINGLES)).alias("blocks")))
+
+
+def _apart(members: DataFrame, finer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The members with those of wide groups in the groups that finer bands give; whom these tie to nobody is linked with nobody."""
+    wide = members.where(F.col("blocks") > WIDE)
+    groups = coarse(finer(wide), F.col("bands")).withColumn("group", -1 - F.col("group"))  # not the name of another group
+    groups = written(groups.join(wide.select("class", "n").distinct(), "class"))
+    again = wide.drop("group", "blocks", "block").join(groups.drop("n").join(_blocks(groups), "group"), "class")
+    again = again.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    out = written(members.where(F.col("blocks") <= WIDE).unionByName(again.select(*members.columns)))
+    dropped(members)
+    return out
+
+
+def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable], percent: int,
+            finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Columns class, component over the classes that are linked to others at all.
 
     ``groups``, a written table: group, class and n of classes that share a bucket with others, directly or through others
@@ -274,15 +316,18 @@ def connect(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles
     moved. A group that fits one task is compared there. A larger one, such as the near copies of one text that fill a
     third of all rows, is dealt into blocks by hash, each with the same few pivots of the group; nearly all its members
     then hang together through the pivots, and the rest is compared, in blocks, with every block. No pair that could be
-    linked is left out, and no task holds more than a few blocks."""
-    sizes = written(groups.groupBy("group").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-                    .select("group", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("s") / SHINGLES)).alias("blocks")))
+    linked is left out, and no task holds more than a few blocks. As that comparison grows with the square of a group, and
+    ever more groups hang together by weak ties the more rows there are, groups of more than WIDE blocks are taken apart
+    first where ``finer`` adds a column bands to the members' classes, which linked ones surely share."""
+    sizes = written(_blocks(groups))
     empty = F.lit(None).cast("long")
     members = texts(groups.join(sizes, "group")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     members = members.withColumn("component", empty).withColumn("asks", F.lit(False))
     if not sizes.where("blocks > 1").head(1):
         return components(_link(members, ["group"], shingles, percent), contracted=True).select(F.col("node").alias("class"), "component")
     members = written(members)
+    if finer and sizes.where(F.col("blocks") > WIDE).head(1):
+        members = _apart(members, finer)
     large = members.where("blocks > 1")
     by_hash = F.struct(F.xxhash64(F.lit("pivot"), "class"), F.col("class"))
     pivots = _smallest(large, by_hash)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: What separates words, as a regular expression's class; text between these six characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+#: Whether Spark removes a job's shuffle files once it has ended, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read back: later stages survive lost executors without running the
-    plan behind them again, and joins see the true size of the rows. The files go when the application ends."""
+    plan behind them again, and joins see the true size of the rows. The files go when the application ends, the shuffle
+    files behind them at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
